@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from leafstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from leafstrata.llm.mixing import OP10_SQL, op10_poisson_mixing
+from leafstrata.llm.sharding import op8_sharding
 from leafstrata.llm.simhash import op1_simhash_near_dedup
+from leafstrata.llm.topk import OP2_SQL, op2_exact_top_k
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_sharding": op8_sharding,
+    "op10_poisson_mixing": op10_poisson_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_exact_top_k": OP2_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op10_poisson_mixing": OP10_SQL,
+}
