@@ -66,6 +66,7 @@ def registry(spark: SparkSession, path: str, digest=sha256, files_per_batch: int
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MEMORY_MB),
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves megabytes
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
