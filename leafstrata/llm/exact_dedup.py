@@ -117,11 +117,11 @@ def _marked(rows: DataFrame, reg: DataFrame) -> DataFrame:
 def _settled(hits: DataFrame, reg: DataFrame) -> DataFrame:
     """``hits`` with keep_id, group_size and kept, after the check of their full bytes."""
     spots = reg.where("n > 1").select("digest", "n", "keep")
-    at = spots.select(F.col("keep.file").alias("file"), F.col("keep.row").alias("row"), F.col("digest").alias("d"))
-    spot = hits.join(at, ["file", "row"]).where("d = digest")
-    bytes_at = spot.select("digest", F.col("text").alias("kept_text"))
-    seen = hits.join(spots, "digest", "left")
-    checked = seen.join(bytes_at, "digest", "left").withColumn("same", F.coalesce(F.col("text") == F.col("kept_text"), F.col("n").isNull()))
+    at = spots.select(F.col("keep.file").alias("file"), F.col("keep.row").alias("row"), F.col("digest").alias("d"), "n", "keep")
+    spot = hits.join(at, ["file", "row"]).where("d = digest").select("digest", "n", "keep", F.col("text").alias("kept_text"))
+    # written, so that the join below deals both its sides anew and Spark can split a hot group's rows
+    groups = materialise(spot, "exact-dedup-groups")
+    checked = hits.join(groups, "digest", "left").withColumn("same", F.coalesce(F.col("text") == F.col("kept_text"), F.col("n").isNull()))
     mixed = materialise(checked.where("NOT same").select("digest").distinct(), "exact-dedup-mixed")
     own = F.struct("doc_id", "file", "row")
     out = checked.drop("kept_text", "same")
