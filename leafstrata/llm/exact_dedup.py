@@ -122,7 +122,7 @@ def _settled(hits: DataFrame, reg: DataFrame) -> DataFrame:
     # written, so that the join below deals both its sides anew and Spark can split a hot group's rows
     groups = materialise(spot, "exact-dedup-groups")
     checked = hits.join(groups, "digest", "left").withColumn("same", F.coalesce(F.col("text") == F.col("kept_text"), F.col("n").isNull()))
-    mixed = materialise(checked.where("NOT same").select("digest").distinct(), "exact-dedup-mixed")
+    mixed = materialise(checked.where("NOT same").select("digest"), "exact-dedup-mixed")  # no distinct: it would tie the join's tasks to keys
     own = F.struct("doc_id", "file", "row")
     out = checked.drop("kept_text", "same")
     if not mixed.isEmpty():  # digests under which different texts met: the whole text decides
