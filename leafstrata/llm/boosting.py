@@ -154,7 +154,7 @@ class BoostedTrees:
         if not n or y.min() == y.max():
             return self
         b = binned(x, self.cuts)
-        wide = max(len(c) + 1 for c in self.cuts)
+        wide = max(2, *(len(c) + 1 for c in self.cuts))
         z = np.full(n, self.intercept)
         inner = (1 << self.depth) - 1
         for _ in range(self.n_trees):

@@ -49,6 +49,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Short rows of ids up to which a written list is broadcast (a few MB); beyond, Spark joins by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def small(written: DataFrame) -> DataFrame:
+    """``written`` with a broadcast hint if a count proves it small. Give it a materialised list of ids."""
+    return F.broadcast(written) if written.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Map each node of ``edges`` (columns a, b) to the smallest node it reaches: (node, component).
+    """Map each node of ``edges`` (columns a, b) that reaches a smaller one to the smallest: (node, component).
+
+    The smallest node of a component has no row; callers coalesce a node without one to itself.
 
     Each pair of steps is written in the shared folder. The loop ends when a round
     changes no edge; the number of rounds grows with the logarithm of the largest

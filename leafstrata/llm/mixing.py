@@ -36,6 +36,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float | Non
     """source, n, rate, pieces, cdf: one row a source (null is a source of its own).
 
     ``weights`` has source and weight (>= 0, any scale; sources without one get none);
+    weights count among the sources that have documents;
     without it, weight is the source's share to the power FLATTEN. ``budget`` is the
     expected number of copies in all; by default the number of documents.
     """

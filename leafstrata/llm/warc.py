@@ -4,7 +4,7 @@ Writing: a page is one record of an HTTP response in chunked transfer framing. A
 over the segment size is cut: the first piece stays a response with segment number 1, the
 rest are continuation records that name the first one's identifier as their origin, the
 last with the total length. Records go through Spark's text writer, whose line end is the
-last byte of a record, into files of a bounded number of records.
+last byte of a record, into gzipped files of a bounded number of records.
 
 Reading: files are parsed record by record. Unsegmented records need no shuffle. Pieces
 are grouped by origin identifier, ordered by segment number, checked for gaps and for the
@@ -14,13 +14,14 @@ total length, joined, and their chunked framing is decoded.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstrata.llm.common import materialise, pick, scratch, table
+from leafstrata.llm.common import materialise, pick, scratch, small, table
 
 VERSION = b"WARC/1.1"
 #: Bytes of a record's block beyond which it is cut into segments.
@@ -128,7 +129,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, fi
             yield pa.record_batch([pa.array([x[:-1] for x in made], pa.large_binary())], names=["record"])  # the line end is a record's last byte
 
     written = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
+    written.write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 _PARSED = "record_id string, warc_type string, url string, key string, origin string, segment int, total long, refers_to string, digest string, block binary"
@@ -145,7 +146,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for h, block in parse(content.as_py()):
+                for h, block in parse(gzip.decompress(content.as_py())):
                     got = [h.get(f) for f in fields]
                     rows.append([*got[:5], got[5] and int(got[5]), got[6] and int(got[6]), *got[7:], block])
                 if rows:
@@ -211,12 +212,14 @@ def reassemble(parsed: DataFrame) -> DataFrame:
 def revisits(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     """``pages`` (page_id, url, payload) with refers_to: of equal payloads of min_bytes or more the largest page_id, null on that page itself.
 
-    Payloads are equal by their SHA-256 and length. Only digests are shuffled before the join.
+    Payloads are equal by their SHA-256. Digests are shuffled; payloads only where the
+    revisits are too many to broadcast.
     """
     marked = pages.withColumn("mark", F.sha2("payload", 256))
     last = marked.where(F.length("payload") >= min_bytes).groupBy(F.col("mark").alias("m")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    found = marked.select("page_id", "mark").join(last, F.col("mark") == F.col("m")).where("page_id <> last").select(F.col("page_id").alias("p"), F.col("last").alias("refers_to")).distinct()
-    return marked.join(found, F.col("page_id") == F.col("p"), "left").select("page_id", "url", "payload", "refers_to")
+    found = marked.select("page_id", "mark").join(last, F.col("mark") == F.col("m")).where("page_id <> last").select(F.col("page_id").alias("p"), "m", F.col("last").alias("refers_to")).distinct()
+    found = small(materialise(found, "warc-revisits"))
+    return marked.join(found, (F.col("page_id") == F.col("p")) & (F.col("mark") == F.col("m")), "left").select("page_id", "url", "payload", "refers_to")
 
 
 def archive_pages(pages: DataFrame, path: str) -> None:
