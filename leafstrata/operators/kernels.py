@@ -180,6 +180,8 @@ def gaussian_weights(sigma: float) -> np.ndarray:
     """Normalised float32 weights over -ceil(2 sigma) .. ceil(2 sigma)."""
     s = np.float32(sigma)
     radius = int(np.ceil(2 * s))
+    if radius < 1:
+        return np.ones(1, np.float32)
     i = np.arange(-radius, radius + 1)
     k = np.exp(-(i * i).astype(np.float32) / (np.float32(2) * s * s)).astype(np.float32)
     total = np.float32(0)
