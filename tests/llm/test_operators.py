@@ -14,17 +14,18 @@ from tests.llm.frames import ROWS, clashing, documents
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_random_graphs(spark, small):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 500 + i) for i in range(30)] + [(7, None)]
-    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()))
     group = {}
     for a, b in edges:
         if b is not None and a != b:
             merged = group.get(a, {a}) | group.get(b, {b})
             group.update(dict.fromkeys(merged, merged))
     assert got == {n: min(g) for n, g in group.items() if n != min(g)}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
 
 
 @pytest.mark.parametrize("tolerance", [0, 1, 3, 4, 6])
