@@ -32,7 +32,7 @@ from leafstrata.llm.common import pick, table
 MARK = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 7, 8
 #: Segmentations a worker keeps at most; beyond, the cache starts anew.
-CACHE = 600_000
+CACHE = 400_000
 _WORD = re.compile(r" *[^ \n]+|\n| +")
 _M64 = (1 << 64) - 1
 
