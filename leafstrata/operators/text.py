@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ def page_median_height(glyphs: DataFrame) -> DataFrame:
 
 
 def cluster_lines(y: np.ndarray, height: np.ndarray) -> np.ndarray:
-    """Line number of each glyph, in float32 arithmetic; glyphs must come sorted by y, ties in order.
+    """Line number of each glyph, in float32 arithmetic; glyphs must come sorted by y, ties in order. The plain form of line_clusters().
 
     A line keeps running means of baseline and height. A glyph that lies further from the
     mean baseline than half the larger of the page's median height and the line's mean
@@ -43,15 +42,23 @@ def cluster_lines(y: np.ndarray, height: np.ndarray) -> np.ndarray:
 
 
 def line_clusters(glyphs: DataFrame) -> DataFrame:
-    """``glyphs`` with line_no, per page from 0 downwards. The fold is order-dependent, so a page is the unit of work."""
+    """``glyphs`` with line_no, per page from 0 downwards: cluster_lines() as a fold inside the JVM.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "seq"], kind="stable")
-        pdf["line_no"] = cluster_lines(pdf.y.to_numpy(np.float32), pdf.height.to_numpy(np.float32))
-        return pdf
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in glyphs.schema) + ", line_no int"
-    return glyphs.groupBy(*PAGE).applyInPandas(run, schema)
+    A page's glyphs are one array, sorted by (y, seq); the fold keeps running means in
+    float32 and the places where lines start, which are few.
+    """
+    rest = [c for c in glyphs.columns if c not in (*PAGE, "y", "seq")]
+    pages = glyphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "seq", *rest))).alias("g"))
+    pages = pages.withColumn("median", F.expr("element_at(array_sort(transform(g, c -> c.height)), CAST(size(g) div 2 + 1 AS INT))"))
+    opens = "acc.n = 0 OR abs(c.y - acc.y) > CAST(0.5 AS FLOAT) * greatest(median, acc.h)"
+    mean = "CAST((acc.{0} * CAST(acc.n AS FLOAT) + c.{1}) / CAST(acc.n + 1 AS FLOAT) AS FLOAT)"
+    fold = f"""aggregate(g, named_struct('starts', CAST(array() AS ARRAY<INT>), 'i', 0, 'y', CAST(0 AS FLOAT), 'h', CAST(0 AS FLOAT), 'n', 0),
+      (acc, c) -> named_struct('starts', IF({opens}, array_append(acc.starts, acc.i), acc.starts), 'i', acc.i + 1,
+        'y', IF({opens}, c.y, {mean.format("y", "y")}), 'h', IF({opens}, c.height, {mean.format("h", "height")}), 'n', IF({opens}, 1, acc.n + 1)),
+      acc -> acc.starts)"""
+    at = pages.withColumn("starts", F.expr(fold)).select(*PAGE, "starts", F.posexplode("g").alias("i", "c"))
+    line = F.expr("CAST(size(filter(starts, s -> s <= i)) - 1 AS INT)").alias("line_no")
+    return at.select(*[F.col(c) if c in PAGE else F.col(f"c.{c}").alias(c) for c in glyphs.columns], line)
 
 
 def word_split(lined: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,16 @@ def test_superscript_stays_in_its_line(spark):
     assert words(spark, [*[(c, 12.0 * i, 100.0, 12.0, 20.0) for i, c in enumerate("Hello")], ("2", 60.0, 94.0, 10.0, 10.0)]) == ["Hello2"]
 
 
+def test_line_fold_equals_plain_form(spark):
+    rng = np.random.default_rng(8)
+    y = np.sort(rng.choice(np.arange(0, 60, 0.7), 400)).astype(np.float32)
+    h = rng.choice([6.0, 7.3, 9.1, 14.0], 400).astype(np.float32)
+    df = spark.createDataFrame([(1, 0, i, "x", 0.0, float(a), 1.0, float(b)) for i, (a, b) in enumerate(zip(y, h, strict=True))], GLYPH)
+    got = {r.seq: r.line_no for r in text.line_clusters(df).collect()}
+    assert [got[i] for i in range(400)] == text.cluster_lines(y, h).tolist() and got[399] > 3
+    assert text.line_clusters(df.where("false")).count() == 0
+
+
 def test_baseline_ratio_without_glyphs(spark):
     df = spark.sql("SELECT w AS word, named_struct('x', 0, 'y', 10, 'w', 5, 'h', 20) AS bbox, CAST(array() AS array<struct<x:float,y:float,w:float,h:float>>) AS chars FROM VALUES ('漢'), ('a') AS t(w)")
     assert [round(r[0], 2) for r in df.orderBy(F.desc("word")).select(text.baseline_ratio()).collect()] == [0.85, 0.75]
