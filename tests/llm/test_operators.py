@@ -64,6 +64,12 @@ def test_similar_texts_keep_one(spark):
     assert similar.keep_one_of_each(documents(spark, [])).count() == 0
 
 
+def test_texts_that_one_shingle_dominates_all_stay(spark):
+    rng = random.Random(5)
+    rows = [(i, "- " * 604 + " ".join(str(rng.random()) for _ in range(500)), "s", 0) for i in range(4)]
+    assert {r.doc_id for r in similar.keep_one_of_each(documents(spark, rows)).collect()} == {0, 1, 2, 3}
+
+
 def test_wide_fingerprint_chunks():
     h = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     whole = similar.wide_fingerprint(h)
