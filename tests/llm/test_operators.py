@@ -70,6 +70,16 @@ def test_texts_that_one_shingle_dominates_all_stay(spark):
     assert {r.doc_id for r in similar.keep_one_of_each(documents(spark, rows)).collect()} == {0, 1, 2, 3}
 
 
+def test_repeated_lines_do_not_hide_a_near_copy(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(4):
+        body = " ".join(f"w{rng.random()}" for _ in range(300))
+        line = " ".join(f"v{rng.random()}" for _ in range(8))
+        rows += [(10 * i, f"{body} {line} end", "s", 0), (10 * i + 1, body + f" {line}" * 21, "s", 0)]
+    assert {r.doc_id for r in similar.keep_one_of_each(documents(spark, rows)).collect()} == {0, 10, 20, 30}
+
+
 def test_wide_fingerprint_chunks():
     h = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     whole = similar.wide_fingerprint(h)
