@@ -80,6 +80,51 @@ def test_repeated_lines_do_not_hide_a_near_copy(spark):
     assert {r.doc_id for r in similar.keep_one_of_each(documents(spark, rows)).collect()} == {0, 10, 20, 30}
 
 
+@pytest.mark.parametrize("orders", [1, similar.ORDERS])
+def test_similar_groups_equal_all_pairs(spark, orders):
+    """Pairs around 0.8, a crowd of mutual Jaccard 0.65, a crowd of near copies, repeated lines; few orders must do no harm."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    texts = []
+    for i in range(60):
+        base = new(rng.randrange(20, 300))
+        cut = int(len(base) * rng.uniform(0.86, 0.93))
+        texts += [base, base[:cut] + new(len(base) - cut)]
+    passage, copied = new(160), new(100)
+    texts += [passage + new(40) for _ in range(60)]
+    texts += [copied[:k] + new(1) + copied[k:] for k in rng.choices(range(100), k=60)]
+    texts += [copied[:50] + copied[40:50] * k + copied[50:] for k in range(1, 5)]
+    texts += [new(2), new(1), [], ["a", "b", "c", "d", "e", "f"], ["a", "b", "c", "d", "e", "g"]]
+    sets = [np.unique(simhash.shingle_hashes(" ".join(t), 5)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar.jaccard(sets[i], sets[j]) >= 0.8:
+                old, low = max(label[i], label[j]), min(label[i], label[j])
+                label = [low if x == old else x for x in label]
+    rows = [(i, " ".join(t), "s", 0) for i, t in enumerate(texts)]
+    marked, links = similar.similar_nodes(documents(spark, rows), orders=orders)
+    node = dict(map(tuple, marked.collect()))
+    comp = dict(map(tuple, components.connected_components(links).collect()))
+    got = {}
+    for i, n in sorted(node.items()):
+        got.setdefault(comp.get(n, n), i)
+    assert [got[comp.get(node[i], node[i])] for i in range(len(texts))] == label
+
+
+def test_pairs_inside_a_crowd_are_found(spark):
+    """Texts that share a long passage (mutual Jaccard 0.66) lie between the partners of pairs above 0.8."""
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    passage = new(160)
+    texts = [passage + new(40) for _ in range(1500)]
+    texts += [t[:181] + new(19) for t in texts[:100]]
+    sets = [np.unique(simhash.shingle_hashes(" ".join(t), 5)) for t in texts]
+    assert all(similar.jaccard(sets[i], sets[1500 + i]) >= 0.8 for i in range(100)) and similar.jaccard(sets[0], sets[1]) < 0.7
+    kept = similar.keep_one_of_each(documents(spark, [(i, " ".join(t), "s", 0) for i, t in enumerate(texts)]))
+    assert {r.doc_id for r in kept.collect()} == set(range(1500))
+
+
 def test_wide_fingerprint_chunks():
     h = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     whole = similar.wide_fingerprint(h)
