@@ -84,3 +84,12 @@ def test_stream_drops_repeats(spark, tmp_path):
     path = str(tmp_path / "e.parquet")
     spark.sql("SELECT id % 5 AS event_id, timestamp'2024-01-01' AS ts FROM range(10)").repartition(3).write.parquet(path)
     assert ingest(spark, path, "event_id", "ts", files_per_batch=1).count() == 5
+
+
+def test_stream_keeps_rows_of_files_out_of_time_order(spark, tmp_path):
+    path = str(tmp_path / "e.parquet")
+    for i in range(20):  # the newest file comes first, and each file repeats a key of the first one
+        rows = f"SELECT {i} AS event_id, timestamp'2024-12-31' - make_dt_interval({30 * i}) AS ts UNION ALL SELECT 0, timestamp'2024-12-31'"
+        spark.sql(rows).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(r.event_id for r in ingest(spark, path, "event_id", "ts").collect()) == list(range(20))
+    assert sorted(r.event_id for r in ingest(spark, path, "event_id", "ts", files_per_batch=3).collect()) == list(range(20))
