@@ -6,9 +6,10 @@ candidate merge is skipped where a keyed hash of its place and piece falls below
 so that a word gets varied segmentations; characters without a piece fall back to bytes.
 
 A merge never crosses a space that follows another character, nor a line end, so that
-words are encoded one by one. An occurrence of a word draws one of VARIANTS hash keys from
-(seed, doc_id, place in the text): results don't depend on partitioning, and each variant
-of a word is worked out once and kept in a cache of bounded size.
+words are encoded one by one. Each occurrence of a word has a hash key of its own, from
+(seed, doc_id, copy, place in the text): results don't depend on partitioning. A word's
+segmentation without a skip is worked out once and kept, in a cache of bounded size, with the
+merges that it proposes; an occurrence that skips one of them is segmented anew.
 
 Pieces decode to their bytes, so any segmentation decodes to the text, also one that holds
 the model's space mark itself: the mark as a character has no piece here and goes to bytes.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from importlib.util import find_spec
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from leafstrata.llm.common import pick, table
 
 MARK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 7, 8
+DROPOUT, SEED = 0.1, 7
 #: Segmentations a worker keeps at most; beyond, the cache starts anew.
 CACHE = 400_000
 _WORD = re.compile(r" *[^ \n]+|\n| +")
@@ -95,8 +97,8 @@ def skipped(key: int, place: int, piece: int, limit: int) -> bool:
     return (h >> 32) < limit
 
 
-def segment(word: str, pieces: PieceTable, key: int = 0, limit: int = 0) -> list[int]:
-    """Ids of a word by agenda merging; merges that the keyed hash skips are left out."""
+def segment(word: str, pieces: PieceTable, key: int = 0, limit: int = 0, proposed: list | None = None) -> list[int]:
+    """Ids of a word by agenda merging; merges that the keyed hash skips are left out. ``proposed`` collects (place, piece)."""
     ids, scores = pieces.ids, pieces.scores
     whole = ids.get(word) if not limit and len(word) == 1 else None
     if whole is not None:
@@ -109,6 +111,8 @@ def segment(word: str, pieces: PieceTable, key: int = 0, limit: int = 0) -> list
     def propose(a: int, b: int) -> None:
         merged = parts[a] + parts[b]
         i = ids.get(merged)
+        if i is not None and proposed is not None:
+            proposed.append((a, i))
         if i is not None and not (limit and skipped(key, a, i, limit)):
             heapq.heappush(agenda, (-scores[i], a, b, merged))
 
@@ -210,60 +214,72 @@ def segment_many(words: list[str], keys: np.ndarray, pieces: PieceTable, limit:
 class Encoder:
     """Encodes texts under a seed and a dropout rate."""
 
-    def __init__(self, pieces: PieceTable, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, pieces: PieceTable, seed: int = SEED, dropout: float = DROPOUT):
         self.pieces, self.seed = pieces, seed
         self.limit = min(1 << 32, round(dropout * (1 << 32)))
-        self.variants = variants if self.limit else 1
-        self.keys = [xxhash.xxh64_intdigest(f"{seed}/{v}") for v in range(self.variants)]
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.held = 0
-
-    def draws(self, doc_id, count: int) -> list[int]:
-        """The variants that a document's words take, in order."""
-        if self.variants == 1:
-            return [0] * count
-        start = np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{doc_id}"))
+        #: word: its ids without a skip, and the places and pieces of the merges that it proposes
+        self.cache: dict[str, tuple[bytes, np.ndarray, np.ndarray]] = {}
+
+    def keys(self, doc_id, copy: int, count: int) -> np.ndarray:
+        """The hash keys of a document's words, in order."""
+        start = np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{doc_id}:{copy}"))
         with np.errstate(over="ignore"):
             h = start + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((h >> np.uint64(33)) % np.uint64(self.variants)).astype(int).tolist()
-
-    def _learn(self, missing: list[set[str]]) -> None:
-        """Work out the missing segmentations of each variant and keep them."""
-        short = [(w, v) for v, words in enumerate(missing) for w in words if len(w) <= SHORT]
-        short.sort(key=lambda x: len(x[0]))  # words of like lengths share a block
-        for i in range(0, len(short), AT_ONCE):
-            words, variants = zip(*short[i : i + AT_ONCE], strict=True)
-            keys = np.array(self.keys, np.uint64)[list(variants)]
-            for w, v, got in zip(words, variants, segment_many(list(words), keys, self.pieces, self.limit), strict=True):
-                self.cache[v][w] = got
-        for v, words in enumerate(missing):
-            self.held += len(words)
-            for w in words:
-                if len(w) > SHORT:
-                    self.cache[v][w] = np.array(segment(w, self.pieces, self.keys[v], self.limit), np.int32).tobytes()
-
-    def encode_many(self, texts: list[str | None], doc_ids: list) -> list[np.ndarray]:
+            return h ^ (h >> np.uint64(31))
+
+    def _learn(self, word: str) -> None:
+        proposed: list[tuple[int, int]] = []
+        ids = np.array(segment(word, self.pieces, proposed=proposed), np.int32).tobytes()
+        both = np.array(proposed, np.int64).reshape(-1, 2)
+        self.cache[word] = ids, both[:, 0], both[:, 1]
+
+    def _skipping(self, known: list[str], which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether each occurrence skips a merge of its word, known[which]."""
+        held = [self.cache[w] for w in known]
+        sizes = np.fromiter((len(h[1]) for h in held), np.int64, len(held))
+        places, found = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        size = sizes[which]
+        ends = np.cumsum(size)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - size), size) + np.arange(ends[-1])
+        with np.errstate(over="ignore"):
+            hit = _skipped_each(np.repeat(keys, size), places[at], found[at], self.limit)
+        before = np.concatenate([[0], np.cumsum(hit)])
+        return before[ends] > before[ends - size]
+
+    def encode_many(self, texts: list[str | None], doc_ids: list, copies: list[int] | None = None) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one."""
-        if self.held >= CACHE:
-            self.cache = [{} for _ in range(self.variants)]
-            self.held = 0
-        missing: list[set[str]] = [set() for _ in range(self.variants)]
-        cut = []
-        for text, doc_id in zip(texts, doc_ids, strict=True):
-            words = _WORD.findall(" " + text) if text else []
-            drawn = self.draws(doc_id, len(words))
-            cut.append((words, drawn))
-            for w, v in zip(words, drawn, strict=True):
-                if w not in self.cache[v]:
-                    missing[v].add(w)
-        self._learn(missing)
-        cache = self.cache
-        return [np.frombuffer(b"".join([cache[v][w] for w, v in zip(words, drawn, strict=True)]), np.int32) for words, drawn in cut]
-
-    def encode(self, text: str | None, doc_id=None) -> np.ndarray:
-        return self.encode_many([text], [doc_id])[0]
+        cut = [_WORD.findall(" " + text) if text else [] for text in texts]
+        flat = [w for words in cut for w in words]
+        if not flat:
+            return [np.zeros(0, np.int32) for _ in texts]
+        keys = np.concatenate([self.keys(d, c, len(words)) for words, d, c in zip(cut, doc_ids, copies or [0] * len(cut), strict=True)])
+        if len(self.cache) >= CACHE:
+            self.cache = {}
+        for w, n in Counter(flat).items():
+            if w not in self.cache and (n > 1 or not self.limit):  # a single new word is segmented under its key at once
+                self._learn(w)
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(w, len(number)) if w in self.cache else -1 for w in flat])
+        again = which < 0
+        if self.limit and number:
+            again[~again] = self._skipping(list(number), which[~again], keys[~again])
+        out = [b"" if a else self.cache[w][0] for w, a in zip(flat, again.tolist(), strict=True)]
+        anew = np.flatnonzero(again).tolist()
+        short = sorted((i for i in anew if len(flat[i]) <= SHORT), key=lambda i: len(flat[i]))  # words of like lengths share a block
+        for n in range(0, len(short), AT_ONCE):
+            some = short[n : n + AT_ONCE]
+            for i, got in zip(some, segment_many([flat[i] for i in some], keys[some], self.pieces, self.limit), strict=True):
+                out[i] = got
+        for i in anew:
+            if len(flat[i]) > SHORT:
+                out[i] = np.array(segment(flat[i], self.pieces, int(keys[i]), self.limit), np.int32).tobytes()
+        ends = np.cumsum(list(map(len, cut))).tolist()
+        return [np.frombuffer(b"".join(out[e - len(words) : e]), np.int32) for words, e in zip(cut, ends, strict=True)]
+
+    def encode(self, text: str | None, doc_id=None, copy: int = 0) -> np.ndarray:
+        return self.encode_many([text], [doc_id], [copy])[0]
 
 
 def decode(ids, pieces: PieceTable) -> str:
@@ -271,7 +287,7 @@ def decode(ids, pieces: PieceTable) -> str:
     return b"".join(map(pieces.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-def _parts(batch, most: int = 4 << 20):
+def _parts(batch, most: int = 1 << 20):
     """Slices of an Arrow batch with about ``most`` bytes of text in column 1 each."""
     size, start = 0, 0
     for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()):
@@ -283,15 +299,15 @@ def _parts(batch, most: int = 4 << 20):
         yield batch.slice(start)
 
 
-def encode_documents(docs: DataFrame, seed: int = SEED, dropout: float = DROPOUT, model: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, seed: int = SEED, dropout: float = DROPOUT, model: str | None = None, copy: str | None = None) -> DataFrame:
     """doc_id, ids, n_pieces, lossless for each row of ``docs``.
 
     ``lossless`` tells that the ids decode to the text's own bytes, which each row is
     tried on. Null and empty texts have no ids. Rows with the same doc_id and text get
-    the same ids; null doc_ids draw alike. Extra columns are ignored. The model's table
+    the same ids unless the column named by ``copy`` tells them apart; null doc_ids draw alike. Extra columns are ignored. The model's table
     goes to the workers with the task; its size is the vocabulary's.
     """
-    rows = pick(docs, "doc_id", "text")
+    rows = pick(docs, "doc_id", "text", *([copy] if copy else []))
     pieces = PieceTable(model)
 
     def run(batches):
@@ -299,7 +315,7 @@ def encode_documents(docs: DataFrame, seed: int = SEED, dropout: float = DROPOUT
         for b in batches:
             for part in _parts(b):
                 doc_ids, texts = part.column(0), part.column(1).to_pylist()
-                ids = encoder.encode_many(texts, doc_ids.to_pylist())
+                ids = encoder.encode_many(texts, doc_ids.to_pylist(), part.column(2).to_pylist() if copy else None)
                 same = [b"".join(map(pieces.bytes.__getitem__, x.tolist()))[1:] == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
                 sizes = [len(x) for x in ids]
                 offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())

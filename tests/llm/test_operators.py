@@ -322,6 +322,29 @@ def test_pieces_are_lossless_and_vary(spark):
     assert [table.bytes[i] for i in every] == [b" ", b"a", b"b", b"c", b" ", b"d", b"e", b"f"]
 
 
+def test_each_occurrence_of_a_word_draws_for_itself():
+    table = pieces.PieceTable()
+    words = ["in", "segmentation", "x" * 40, "漢字é"]
+    text = " ".join(words * 3000) + " once"
+    encoder = pieces.Encoder(table, 1)
+    got = encoder.encode(text, 5, 2)
+    cut = pieces._WORD.findall(" " + text)
+    assert got.tolist() == [i for w, k in zip(cut, encoder.keys(5, 2, len(cut)), strict=True) for i in pieces.segment(w, table, int(k), encoder.limit)]
+    forms = {tuple(pieces.segment(" segmentation", table, int(k), encoder.limit)) for k in encoder.keys(5, 2, 3000)}
+    assert len(forms) > 8
+    ab = encoder.encode("ab\n" * 4000, 6).tolist()
+    split = ab.count(table.ids["a"]) / 4000
+    assert 0.08 < split < 0.12
+    assert encoder.encode(text, 5, 1).tolist() != got.tolist()
+
+
+def test_repeated_rows_are_told_apart(spark):
+    from leafstrata.llm import stages
+
+    rows = documents(spark, [(1, "the segmentation of repeated documents varies " * 20, "s", 0)] * 3)
+    assert len({tuple(r.ids) for r in stages.encode(spark, rows, "").collect()}) == 3
+
+
 def test_many_words_at_once_equal_the_agenda():
     table, rng = pieces.PieceTable(), random.Random(0)
     words = list({" " * rng.randrange(3) + "".join(rng.choices("abcdeinrst ﷺé漢", k=rng.randrange(1, 20))) for _ in range(800)})
