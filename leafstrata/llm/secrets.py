@@ -31,8 +31,8 @@ _NAMES = "|".join([*map(_any_case, ("password", "passwd", "secret", "token")), _
 ASSIGN = re.compile(rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-#: A token that the models judge: a whole run of the characters that keys are made of.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A token that the models judge: a whole run of the characters that keys are made of. A '=' may stand before it, or pad its end.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?(?![A-Za-z0-9+/_-])")
 #: Mean log-likelihood ratio per transition, in nats, from which a token counts as random.
 THRESHOLD = 0.55
 

@@ -218,6 +218,16 @@ def test_markov_models_tell_random_from_ordinary():
     assert [(k, text[a:b]) for k, a, b in secrets.scan(text)] == [("markov", key)]
 
 
+def test_values_after_an_equals_sign_are_judged():
+    key = "".join(np.random.default_rng(78).choice(list(secrets.ALPHABET[:62]), 40))
+    for before, after in [("AWS_SECRET_ACCESS_KEY=", ""), ("client_id=", " x"), ("url?sig=", "&a=1"), ("DB_KEY=", "=="), ("==", "="), ("", "=1")]:
+        text = f"see {before}{key}{after}"
+        pad = after if after in ("=", "==") else ""
+        assert ("markov", key + pad) in [(k, text[a:b]) for k, a, b in secrets.scan(text)], text
+    assert secrets.TOKEN.search("x" * 19 + "=" + "y" * 19) is None
+    assert secrets.TOKEN.search("a" * 20 + "===").group() == "a" * 20
+
+
 def test_secrets_on_awkward_rows(spark):
     got = secrets.find_secrets(clashing(spark)).collect()
     assert len(got) == len(ROWS) and all(r.spans == [] for r in got if r.doc_id in (2, 3, 5))
