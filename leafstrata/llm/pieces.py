@@ -9,7 +9,8 @@ A merge never crosses a space that follows another character, nor a line end, so
 words are encoded one by one. Each occurrence of a word has a hash key of its own, from
 (seed, doc_id, copy, place in the text): results don't depend on partitioning. A word's
 segmentation without a skip is worked out once and kept, in a cache of bounded size, with the
-merges that it proposes; an occurrence that skips one of them is segmented anew.
+merges that were made for it. Skipping a merge that is never made changes nothing, so that
+only an occurrence that skips one of those is segmented anew.
 
 Pieces decode to their bytes, so any segmentation decodes to the text, also one that holds
 the model's space mark itself: the mark as a character has no piece here and goes to bytes.
@@ -19,8 +20,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from importlib.util import find_spec
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from leafstrata.llm.common import pick, table
 
 MARK = "▁"
 DROPOUT, SEED = 0.1, 7
-#: Segmentations a worker keeps at most; beyond, the cache starts anew.
+#: Words whose segmentation a task keeps; beyond, the cache starts anew. Only words of up to SHORT characters are kept.
 CACHE = 400_000
 _WORD = re.compile(r" *[^ \n]+|\n| +")
 _M64 = (1 << 64) - 1
@@ -80,8 +81,44 @@ class PieceTable:
         self.char_codes, self.char_ids = (np.array(x, np.int64) for x in zip(*chars, strict=True))
         size = len(self.scores)
         pairs = sorted((self.ids[p[:k]] * size + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
-        self.pair_keys, self.pair_ids = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.rank = np.argsort(np.lexsort((np.arange(size), -np.array(self.scores)))).astype(np.int64)
+        self.by_rank = np.lexsort((np.arange(size), -np.array(self.scores))).astype(np.int32)
+        self.rank = np.argsort(self.by_rank).astype(np.int32)
+        self._fill(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.table_bits)).astype(np.int64)
+
+    def _fill(self, keys: np.ndarray, ids: np.ndarray) -> None:
+        """A hash table of pairs: a pair lies in its slot or in one of the next ``table_reach``."""
+        self.table_bits = int(np.ceil(np.log2(max(len(keys), 1) * 8)))
+        self.table_keys, self.table_ids = np.full((1 << self.table_bits) + 64, -1, np.int64), np.full((1 << self.table_bits) + 64, -1, np.int32)
+        at, self.table_reach = self._slots(keys), 0
+        while len(keys):
+            if self.table_reach == 64:
+                raise ValueError("too many pairs of pieces share a slot")
+            free = self.table_keys[at] < 0
+            won = np.zeros(len(at), bool)
+            won[np.unique(np.where(free, at, -1), return_index=True)[1]] = True
+            won &= free
+            self.table_keys[at[won]], self.table_ids[at[won]] = keys[won], ids[won]
+            keys, ids, at = keys[~won], ids[~won], at[~won] + 1
+            self.table_reach += bool(len(keys))
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each two neighbouring pieces make, -1 where there is none."""
+        asked = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * len(self.scores) + right, -2)
+        at = self._slots(asked)
+        got = np.where(self.table_keys[at] == asked, self.table_ids[at], np.int32(-1))
+        open_ = np.flatnonzero((got < 0) & (self.table_keys[at] >= 0))
+        for _ in range(self.table_reach):
+            if not len(open_):
+                break
+            at[open_] += 1
+            held = self.table_keys[at[open_]]
+            same = held == asked[open_]
+            got[open_[same]] = self.table_ids[at[open_[same]]]
+            open_ = open_[~same & (held >= 0)]
+        return got
 
     def lookup(self, keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """values where keys (sorted) hold what is asked, else -1."""
@@ -97,12 +134,9 @@ def skipped(key: int, place: int, piece: int, limit: int) -> bool:
     return (h >> 32) < limit
 
 
-def segment(word: str, pieces: PieceTable, key: int = 0, limit: int = 0, proposed: list | None = None) -> list[int]:
-    """Ids of a word by agenda merging; merges that the keyed hash skips are left out. ``proposed`` collects (place, piece)."""
+def segment(word: str, pieces: PieceTable, key: int = 0, limit: int = 0) -> list[int]:
+    """Ids of a word by agenda merging; merges that the keyed hash skips are left out."""
     ids, scores = pieces.ids, pieces.scores
-    whole = ids.get(word) if not limit and len(word) == 1 else None
-    if whole is not None:
-        return [whole]
     parts: list[str] = list(word)
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -111,8 +145,6 @@ def segment(word: str, pieces: PieceTable, key: int = 0, limit: int = 0, propose
     def propose(a: int, b: int) -> None:
         merged = parts[a] + parts[b]
         i = ids.get(merged)
-        if i is not None and proposed is not None:
-            proposed.append((a, i))
         if i is not None and not (limit and skipped(key, a, i, limit)):
             heapq.heappush(agenda, (-scores[i], a, b, merged))
 
@@ -139,7 +171,8 @@ def segment(word: str, pieces: PieceTable, key: int = 0, limit: int = 0, propose
 
 #: Words up to this many characters are merged many at once, so many at a time.
 SHORT, AT_ONCE = 24, 1 << 15
-_NONE = 1 << 60
+#: No entry in an agenda; a cell without a piece, other than a character that has none (-1).
+_NONE, _GONE = (1 << 31) - 1, -2
 
 
 def _skipped_each(keys: np.ndarray, place: np.ndarray, piece: np.ndarray, limit: int) -> np.ndarray:
@@ -150,65 +183,124 @@ def _skipped_each(keys: np.ndarray, place: np.ndarray, piece: np.ndarray, limit:
     return (h >> np.uint64(32)) < np.uint64(limit)
 
 
-def segment_many(words: list[str], keys: np.ndarray, pieces: PieceTable, limit: int) -> list[bytes]:
+def _stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions start .. start + length - 1 of each stretch, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Segments:
+    """Ids of many words as one array, and each word's number of ids; with the merges (place and piece) that were made, if they were noted."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, places: np.ndarray | None = None, made: np.ndarray | None = None, merges: np.ndarray | None = None):
+        self.ids, self.lengths, self.places, self.made, self.merges = ids, lengths, places, made, merges
+
+
+def segment_many(words: list[str], keys: np.ndarray | None, pieces: PieceTable, limit: int, note: bool = False) -> Segments:
     """segment() for many short words: each step takes the first entry of every word's agenda.
 
-    Rows are words, columns what is left of their characters. ``agenda`` holds the order and
-    the id of each neighbouring pair's piece in one number, or _NONE where there is none or
-    where the keyed hash skips it. Rows whose agenda is empty leave for the result.
+    Each character has a cell, a word's cells lie in a row of equal width, and a piece lives
+    in its first cell, with the cells of its neighbours in ``after`` and ``before``. The
+    agenda holds the rank of the piece that a cell's piece makes with the next one, or _NONE
+    where there is none or where the keyed hash skips it. ``note`` asks for the merges that
+    were made, word by word.
     """
-    size = len(pieces.scores)
     length = np.fromiter(map(len, words), np.int64, len(words))
-    width = int(length.max())
+    width = int(length.max()) + 1  # the last cell stays empty
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     columns = np.arange(width)
     inside = columns < length[:, None]
-    ids = np.full(inside.shape, -1, np.int32)
-    ids[inside] = pieces.lookup(pieces.char_codes, pieces.char_ids, codes)
-    place = np.broadcast_to(columns.astype(np.int8), ids.shape).copy()
-
-    def proposed(left: np.ndarray, right: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
-        merged = pieces.lookup(pieces.pair_keys, pieces.pair_ids, left.astype(np.int64) * size + right)
-        found = (merged >= 0) & (left >= 0) & (right >= 0)
+    first = np.full(inside.shape, _GONE, np.int32)
+    first[inside] = pieces.lookup(pieces.char_codes, pieces.char_ids, codes)
+    ids = first.ravel()
+    after, before = np.arange(1, len(ids) + 1, dtype=np.int32), np.arange(-1, len(ids) - 1, dtype=np.int32)
+    if keys is None:
+        keys, limit = np.zeros(len(words), np.uint64), 0
+
+    def proposed(cell: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """What each cell's piece makes with the next one, by rank."""
+        merged = pieces.pair(ids[cell], ids[after[cell]])
+        rank = pieces.rank[merged]
         if limit:
             with np.errstate(over="ignore"):
-                found &= ~_skipped_each(key, at, np.maximum(merged, 0), limit)
-        return np.where(found, pieces.rank[merged] << 20 | merged, _NONE)
-
-    agenda = np.full(ids.shape, _NONE)
-    r, c = np.nonzero(inside[:, 1:])
-    agenda[r, c] = proposed(ids[r, c], ids[r, c + 1], place[r, c], keys[r])
-    done_ids, done_place, done_length = np.empty_like(ids), np.empty_like(place), np.empty_like(length)
+                rank = np.where(_skipped_each(keys[row], cell - row * width, np.maximum(merged, 0), limit), _NONE, rank)
+        return np.where(merged >= 0, rank, _NONE)
+
+    agenda = np.full(len(ids), _NONE, np.int32)
+    cell = np.flatnonzero(inside[:, :-1] & inside[:, 1:])
+    cell += cell // (width - 1)  # from rows without their last cell to whole rows
+    agenda[cell] = proposed(cell, cell // width)
+    agenda = agenda.reshape(len(words), width)
     row = np.arange(len(words))
+    noted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(row):
+        here = np.arange(len(row))
         j = agenda.argmin(1)
-        first = agenda[np.arange(len(row)), j]
-        going = first < _NONE
+        rank = agenda[here, j]
+        going = rank < _NONE
         if not going.all():
-            over = ~going
-            done_ids[row[over]], done_place[row[over]], done_length[row[over]] = ids[over], place[over], length[over]
-            ids, place, agenda, length, row, keys, j, first = (m[going] for m in (ids, place, agenda, length, row, keys, j, first))
-        here = np.arange(len(row))
-        ids[here, j] = first & 0xFFFFF
-        shift = np.minimum(columns + (columns > j[:, None]), width - 1)  # the right part's column goes
-        ids, place, agenda = (np.take_along_axis(m, shift, 1) for m in (ids, place, agenda))
-        length = length - 1
-        for side in (j - 1, j):
-            has = (side >= 0) & (side + 1 < length)
-            r, c = here[has], side[has]
-            agenda[r, c] = proposed(ids[r, c], ids[r, c + 1], place[r, c], keys[r])
-        end = j == length - 1
-        agenda[here[end], j[end]] = _NONE
-    inside = columns < done_length[:, None]
-    ends = np.cumsum(done_length) * 4
-    flat = done_ids[inside].tobytes()
-    out = [flat[a:b] for a, b in zip((ends - done_length * 4).tolist(), ends.tolist(), strict=True)]
-    for n in np.flatnonzero(((done_ids < 0) & inside).any(1)).tolist():  # characters without a piece go to bytes
-        got: list[int] = []
-        for i, at in zip(done_ids[n, : done_length[n]].tolist(), done_place[n, : done_length[n]].tolist(), strict=True):
-            got += [i] if i >= 0 else [pieces.byte_ids[x] for x in words[n][at].encode("utf-8", "surrogatepass")]
-        out[n] = np.array(got, np.int32).tobytes()
-    return out
+            agenda, row, j, rank = (m[going] for m in (agenda, row, j, rank))
+            here = here[: len(row)]
+        at = row * width + j
+        right = after[at]
+        ids[at], ids[right] = pieces.by_rank[rank], _GONE
+        after[at] = after[right]
+        before[after[right]] = at
+        if note:
+            noted.append((row, j, ids[at]))
+        agenda[here, right - row * width] = _NONE
+        agenda[here, j] = proposed(at, row)
+        left = before[at]
+        has = left >= row * width
+        has[has] = ids[left[has]] != _GONE  # the row before ends in an empty cell
+        r, left = row[has], left[has]
+        agenda[here[has], left - r * width] = proposed(left, r)
+    held = np.flatnonzero(ids != _GONE)
+    flat, of = ids[held], held // width
+    lengths = np.bincount(of, minlength=len(words))
+    missing = np.flatnonzero(flat < 0)
+    if len(missing):  # characters without a piece go to bytes
+        of, at = of[missing], held[missing] % width
+        raw = [words[n][k].encode("utf-8", "surrogatepass") for n, k in zip(of.tolist(), at.tolist(), strict=True)]
+        more = np.fromiter(map(len, raw), np.int64, len(raw)) - 1
+        lengths = lengths + np.bincount(of, more, len(words)).astype(np.int64)
+        times = np.ones(len(flat), np.int64)
+        times[missing] += more
+        flat = np.repeat(flat, times)
+        flat[flat < 0] = np.array(pieces.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
+    if not note:
+        return Segments(flat, lengths)
+    rows, places, made = (np.concatenate([n[i] for n in noted] or [np.zeros(0, np.int64)]) for i in range(3))
+    by_word = np.argsort(rows, kind="stable")
+    return Segments(flat, lengths, places[by_word].astype(np.int8), made[by_word].astype(np.int32), np.bincount(rows, minlength=len(words)))
+
+
+class Known:
+    """Short words without a skip: their ids and the merges made for them, in arrays that grow."""
+
+    def __init__(self, pieces: PieceTable):
+        self.pieces = pieces
+        self.number: dict[str, int] = {}
+        self.parts: list[Segments] = []
+        self.joined: Segments | None = None
+
+    def learn(self, words: list[str]) -> None:
+        """Add words that are not known yet."""
+        words = sorted(words, key=len)  # words of like lengths share a block
+        for n in range(0, len(words), AT_ONCE):
+            some = words[n : n + AT_ONCE]
+            self.parts.append(segment_many(some, None, self.pieces, 0, note=True))
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+            self.joined = None
+
+    def all(self) -> Segments:
+        if self.joined is None:
+            fields = ("ids", "lengths", "places", "made", "merges")
+            self.joined = Segments(*(np.concatenate([getattr(p, f) for p in self.parts]) for f in fields))
+            self.parts = [self.joined]
+            self.starts = np.cumsum(self.joined.lengths) - self.joined.lengths
+            self.merge_starts = np.cumsum(self.joined.merges) - self.joined.merges
+        return self.joined
 
 
 class Encoder:
@@ -217,35 +309,31 @@ class Encoder:
     def __init__(self, pieces: PieceTable, seed: int = SEED, dropout: float = DROPOUT):
         self.pieces, self.seed = pieces, seed
         self.limit = min(1 << 32, round(dropout * (1 << 32)))
-        #: word: its ids without a skip, and the places and pieces of the merges that it proposes
-        self.cache: dict[str, tuple[bytes, np.ndarray, np.ndarray]] = {}
+        self.known = Known(pieces)
 
     def keys(self, doc_id, copy: int, count: int) -> np.ndarray:
         """The hash keys of a document's words, in order."""
-        start = np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{doc_id}:{copy}"))
+        return self._keys([doc_id], [copy], [count])
+
+    def _keys(self, doc_ids: list, copies: list[int], counts: list[int]) -> np.ndarray:
+        """keys() of documents one after another."""
+        starts = [xxhash.xxh64_intdigest(f"{self.seed}:{d}:{c}") for d, c in zip(doc_ids, copies, strict=True)]
+        place = _stretches(np.ones(len(counts), np.int64), np.array(counts, np.int64)).astype(np.uint64)
         with np.errstate(over="ignore"):
-            h = start + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = np.repeat(np.array(starts, np.uint64), counts) + place * np.uint64(0x9E3779B97F4A7C15)
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             return h ^ (h >> np.uint64(31))
 
-    def _learn(self, word: str) -> None:
-        proposed: list[tuple[int, int]] = []
-        ids = np.array(segment(word, self.pieces, proposed=proposed), np.int32).tobytes()
-        both = np.array(proposed, np.int64).reshape(-1, 2)
-        self.cache[word] = ids, both[:, 0], both[:, 1]
-
-    def _skipping(self, known: list[str], which: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Whether each occurrence skips a merge of its word, known[which]."""
-        held = [self.cache[w] for w in known]
-        sizes = np.fromiter((len(h[1]) for h in held), np.int64, len(held))
-        places, found = (np.concatenate([h[i] for h in held]) for i in (1, 2))
-        size = sizes[which]
-        ends = np.cumsum(size)
-        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - size), size) + np.arange(ends[-1])
+    def _skipping(self, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether each occurrence skips a merge that was made for its word: only then can its ids differ."""
+        held = self.known.all()
+        size = held.merges[which]
+        at = _stretches(self.known.merge_starts[which], size)
         with np.errstate(over="ignore"):
-            hit = _skipped_each(np.repeat(keys, size), places[at], found[at], self.limit)
+            hit = _skipped_each(np.repeat(keys, size), held.places[at], held.made[at], self.limit)
         before = np.concatenate([[0], np.cumsum(hit)])
+        ends = np.cumsum(size)
         return before[ends] > before[ends - size]
 
     def encode_many(self, texts: list[str | None], doc_ids: list, copies: list[int] | None = None) -> list[np.ndarray]:
@@ -254,29 +342,38 @@ class Encoder:
         flat = [w for words in cut for w in words]
         if not flat:
             return [np.zeros(0, np.int32) for _ in texts]
-        keys = np.concatenate([self.keys(d, c, len(words)) for words, d, c in zip(cut, doc_ids, copies or [0] * len(cut), strict=True)])
-        if len(self.cache) >= CACHE:
-            self.cache = {}
-        for w, n in Counter(flat).items():
-            if w not in self.cache and (n > 1 or not self.limit):  # a single new word is segmented under its key at once
-                self._learn(w)
-        number: dict[str, int] = {}
-        which = np.array([number.setdefault(w, len(number)) if w in self.cache else -1 for w in flat])
+        counts = list(map(len, cut))
+        keys = self._keys(doc_ids, copies or [0] * len(cut), counts)
+        if len(self.known.number) >= CACHE:
+            self.known = Known(self.pieces)
+        self.known.learn([w for w in set(flat).difference(self.known.number) if len(w) <= SHORT])
+        which = np.fromiter(map(self.known.number.get, flat, repeat(-1)), np.int64, len(flat))
         again = which < 0
-        if self.limit and number:
-            again[~again] = self._skipping(list(number), which[~again], keys[~again])
-        out = [b"" if a else self.cache[w][0] for w, a in zip(flat, again.tolist(), strict=True)]
-        anew = np.flatnonzero(again).tolist()
-        short = sorted((i for i in anew if len(flat[i]) <= SHORT), key=lambda i: len(flat[i]))  # words of like lengths share a block
-        for n in range(0, len(short), AT_ONCE):
-            some = short[n : n + AT_ONCE]
-            for i, got in zip(some, segment_many([flat[i] for i in some], keys[some], self.pieces, self.limit), strict=True):
-                out[i] = got
-        for i in anew:
-            if len(flat[i]) > SHORT:
-                out[i] = np.array(segment(flat[i], self.pieces, int(keys[i]), self.limit), np.int32).tobytes()
-        ends = np.cumsum(list(map(len, cut))).tolist()
-        return [np.frombuffer(b"".join(out[e - len(words) : e]), np.int32) for words, e in zip(cut, ends, strict=True)]
+        short = np.flatnonzero(~again)
+        start, length, pool = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64), []
+        if len(short):
+            held = self.known.all()
+            start[short], length[short] = self.known.starts[which[short]], held.lengths[which[short]]
+            pool.append(held.ids)
+            if self.limit:
+                anew = short[self._skipping(which[short], keys[short])]
+                anew = anew[np.argsort(np.fromiter((len(flat[i]) for i in anew.tolist()), np.int64, len(anew)), kind="stable")]
+                offset = len(held.ids)
+                for n in range(0, len(anew), AT_ONCE):
+                    some = anew[n : n + AT_ONCE]
+                    got = segment_many([flat[i] for i in some.tolist()], keys[some], self.pieces, self.limit)
+                    length[some], start[some] = got.lengths, offset + np.cumsum(got.lengths) - got.lengths
+                    pool.append(got.ids)
+                    offset += len(got.ids)
+        offset = sum(map(len, pool))
+        for i in np.flatnonzero(again).tolist():
+            ids = np.array(segment(flat[i], self.pieces, int(keys[i]), self.limit), np.int32)
+            start[i], length[i] = offset, len(ids)
+            pool.append(ids)
+            offset += len(ids)
+        ids = np.concatenate(pool)[_stretches(start, length)]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, text: str | None, doc_id=None, copy: int = 0) -> np.ndarray:
         return self.encode_many([text], [doc_id], [copy])[0]

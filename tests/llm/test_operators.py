@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -361,7 +362,32 @@ def test_many_words_at_once_equal_the_agenda():
     for limit in (0, 1 << 29, 1 << 31):
         keys = np.array([rng.getrandbits(64) for _ in words], np.uint64)
         got = pieces.segment_many(words, keys, table, limit)
-        assert [np.frombuffer(g, np.int32).tolist() for g in got] == [pieces.segment(w, table, int(k), limit) for w, k in zip(words, keys, strict=True)]
+        ends = np.cumsum(got.lengths).tolist()
+        assert [got.ids[e - n : e].tolist() for e, n in zip(ends, got.lengths.tolist(), strict=True)] == [pieces.segment(w, table, int(k), limit) for w, k in zip(words, keys, strict=True)]
+
+
+@pytest.mark.parametrize("cache", [3, pieces.CACHE])
+def test_texts_equal_the_agenda_word_by_word(monkeypatch, cache):
+    """The plain agenda under each occurrence's key, for texts encoded together, with and without room to keep words."""
+    monkeypatch.setattr(pieces, "CACHE", cache)
+    table, rng = pieces.PieceTable(), random.Random(3)
+    texts = ["".join(rng.choices("abcdeinrst  \n▁é漢😀", k=rng.randrange(400))) for _ in range(40)] + [None, "", "a" * 5000, "\n", " "]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        encoder = pieces.Encoder(table, 1, dropout)
+        for start in (0, 20):
+            some = texts[start:]
+            for n, (text, got) in enumerate(zip(some, encoder.encode_many(some, list(range(len(some)))), strict=True)):
+                cut = pieces._WORD.findall(" " + text) if text else []
+                keys = encoder.keys(n, 0, len(cut))
+                assert got.tolist() == [i for w, k in zip(cut, keys, strict=True) for i in pieces.segment(w, table, int(k), encoder.limit)]
+
+
+def test_without_dropout_ids_are_the_library_s():
+    import sentencepiece
+
+    sp, encoder = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), pieces.Encoder(pieces.PieceTable(), 1, 0.0)
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text NOT LIKE '%▁%'").fetchall()]
+    assert [x.tolist() for x in encoder.encode_many(texts, [0] * len(texts))] == sp.encode(texts)
 
 
 def test_pieces_on_awkward_rows(spark):
