@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,25 @@ def small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else written
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and what its allocators keep adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call, and needs none
+        pass
+
+
+def lean(run):
+    """``run``, a function over Arrow batches for mapInArrow, that gives memory back when its task is through."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstrata.llm.common import pick, table
+from leafstrata.llm.common import give_back, pick, table
 
 MARK = "▁"
 DROPOUT, SEED = 0.1, 7
@@ -421,6 +421,7 @@ def encode_documents(docs: DataFrame, seed: int = SEED, dropout: float = DROPOUT
                     [doc_ids, pa.ListArray.from_arrays(offsets, values), pa.array(sizes, pa.int32()), pa.array(same, pa.bool_())],
                     names=["doc_id", "ids", "n_pieces", "lossless"],
                 )
+            give_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces int, lossless boolean")

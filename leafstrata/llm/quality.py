@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafstrata.llm.boosting import AdditiveModel
-from leafstrata.llm.common import crc_remainder, pick, table, training_rows
+from leafstrata.llm.common import crc_remainder, lean, pick, table, training_rows
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 8000
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveMod
             x = feature_matrix(b.column(0).to_pylist())
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
-    got = rows.select("text", "label").mapInArrow(run, "x array<double>, label int").toArrow()
+    got = rows.select("text", "label").mapInArrow(lean(run), "x array<double>, label int").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES))
     y = np.array(got.column("label").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order in which rows arrive
@@ -105,7 +105,7 @@ def keep(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) ->
             if b.num_rows:
                 yield b.filter(pa.array(model.score(feature_matrix(b.column(at).to_pylist())) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +124,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
             yield pa.record_batch([b.column(0), pa.array(p)], names=["doc_id", "score"])
 
     kind = bare.schema["doc_id"].dataType.simpleString()
-    scored = bare.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = bare.mapInArrow(lean(run), f"doc_id {kind}, score double")
     held = crc_remainder("doc_id", HELD_OUT[0]) == HELD_OUT[1]
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstrata.llm.common import materialise, pick, table
+from leafstrata.llm.common import lean, materialise, pick, table
 from leafstrata.llm.components import connected_components
 
 BITS = 64
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def _ring(tolerance: int) -> list[tuple[int, list[int], list[int]]]:

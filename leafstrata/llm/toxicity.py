@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafstrata.llm.boosting import BoostedTrees, Isotonic
-from leafstrata.llm.common import crc_remainder, pick, table, training_rows
+from leafstrata.llm.common import crc_remainder, lean, pick, table, training_rows
 
 #: Labelled rows that lexicon and trees are fitted on at most, and entries a lexicon holds at most.
 SAMPLE, ENTRIES = 12000, 2000
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
         for b in batches:
             yield pa.record_batch([pa.array(list(made.matrix(b.column(0).to_pylist())), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
-    got = rows.select("text", "label").mapInArrow(run, "x array<double>, label int").toArrow()
+    got = rows.select("text", "label").mapInArrow(lean(run), "x array<double>, label int").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES))
     y = np.array(got.column("label").to_pylist(), float)
     order = np.lexsort((*x.T, y))
@@ -197,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
             yield pa.record_batch([b.column(0), pa.array(model.score(made.matrix(b.column(1).to_pylist())))], names=["doc_id", "score"])
 
     kind = bare.schema["doc_id"].dataType.simpleString()
-    scored = bare.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = bare.mapInArrow(lean(run), f"doc_id {kind}, score double")
     held = crc_remainder("doc_id", HELD_OUT[0]) == HELD_OUT[1]
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
