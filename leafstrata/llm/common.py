@@ -48,7 +48,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that materialise() has written, once nothing that reads them is left to be computed."""
+    for df in written:
+        drop_path(df.sparkSession, df._written_at)
 
 
 #: Short rows of ids up to which a written list is broadcast (a few MB); beyond, Spark joins by shuffle.

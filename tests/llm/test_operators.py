@@ -427,3 +427,26 @@ def test_mixing_awkward_rows(spark):
     assert got.columns[: len(df.columns)] == df.columns
     again = mixing.poisson_mix(df.repartition(3), budget=300.0)
     assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
+def test_keys_that_meet_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = sorted((k, n, 9, -p if k == 7 else p) for k, n, p in ((rng.randrange(60), rng.randrange(4) if rng.random() < 0.5 else rng.randrange(400), rng.randrange(1, 5)) for _ in range(90)))
+    want = {(k, n) for k, n, _, _ in rows if k == 7 or len({m for j, m, _, _ in rows if j == k}) > 1}
+    for size in (1, 2, 3, 7, 90):
+        batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "node", "size", "place"]) for i in range(0, 90, size)]
+        got = [(r["key"], r["node"]) for b in similar._shared(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+    assert list(similar._shared(iter([]))) == []
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for a, b, both in [(0, 3, 0), (300, 300, 200), (600, 480, 450), (2000, 2300, 1700), (40_000, 41_000, 30_000)]:
+        x = np.unique(rng.integers(0, 1 << 63, a + b, np.int64).astype(np.uint64))
+        one, two = np.sort(x[:a]), np.sort(np.concatenate([x[:both], x[a : a + b - both]]))
+        apart = similar.parity_difference(similar.parity(one), similar.parity(two))
+        assert apart <= len(np.setxor1d(one, two)) and (apart > 0.4 * len(np.setxor1d(one, two)) or a > 30_000)
+        assert similar.parity_difference(similar.parity(one), similar.parity(one)) == 0
