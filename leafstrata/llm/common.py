@@ -87,6 +87,30 @@ def lean(run):
     return wrapped
 
 
+def repeated(rows: DataFrame, mark: str) -> DataFrame:
+    """The marks that several rows have, as a written table with the column _mark."""
+    return materialise(rows.groupBy(F.col(mark).alias("_mark")).count().where("count > 1").select("_mark"), "repeated")
+
+
+def numbered(rows: DataFrame, mark: str, row: str, again: DataFrame | None = None) -> DataFrame:
+    """``rows`` (any columns) with ``occurrence``: 1, 2, ... for rows that are equal in the column ``row``, in one order or another.
+
+    Rows equal in ``row`` must be equal in all columns, and have one ``mark``, a long that
+    other rows share rarely. Only rows whose mark repeats are grouped, with partial
+    aggregates, so that any number of equal rows is one row in a shuffle. ``again`` is
+    repeated(), where it is known already.
+    """
+    if again is None:
+        again = repeated(rows, mark)
+    if again.isEmpty():
+        return rows.withColumn("occurrence", F.lit(1))
+    side = small(again)
+    once = rows.join(side, rows[mark] == side["_mark"], "left_anti").withColumn("occurrence", F.lit(1))
+    others = [c for c in rows.columns if c not in (mark, row)]
+    more = rows.join(side, rows[mark] == side["_mark"], "left_semi").groupBy(mark, row).agg(F.count("*").cast("int").alias("_n"), *[F.first(c).alias(c) for c in others])
+    return once.unionByName(more.withColumn("occurrence", F.explode(F.expr("sequence(1, _n)"))).select(*rows.columns, "occurrence"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,7 +134,8 @@ def training_rows(labels: DataFrame, docs: DataFrame, label: str, modulus: int,
 
     The rows are those with the smallest hashed ids: a bounded sample, which is why
     the label side is broadcast. Labels other than 0 and 1 and null ids take no part;
-    of repeated ids the larger label counts.
+    of repeated ids the larger label counts, and of their texts the last in order, so that
+    repeated documents don't add rows.
     """
     lab = (
         pick(labels, "doc_id", label)
@@ -122,4 +147,4 @@ def training_rows(labels: DataFrame, docs: DataFrame, label: str, modulus: int,
         .limit(limit)
     )
     texts = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.join(F.broadcast(lab), "doc_id")
+    return texts.join(F.broadcast(lab), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label"))

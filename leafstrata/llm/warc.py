@@ -4,7 +4,8 @@ Writing: a page is one record of an HTTP response in chunked transfer framing. A
 over the segment size is cut: the first piece stays a response with segment number 1, the
 rest are continuation records that name the first one's identifier as their origin, the
 last with the total length. Records go through Spark's text writer, whose line end is the
-last byte of a record, into gzipped files of a bounded number of records.
+last byte of a record, into gzipped files of a bounded number of records. The writer makes
+one gzip stream a file and names it .txt.gz; reading takes files of a member a record too.
 
 Reading: files are parsed record by record. Unsegmented records need no shuffle. Pieces
 are grouped by origin identifier, ordered by segment number, checked for gaps and for the
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstrata.llm.common import materialise, pick, scratch, small, table
+from leafstrata.llm.common import materialise, numbered, pick, repeated, scratch, small, table
 
 VERSION = b"WARC/1.1"
 #: Bytes of a record's block beyond which it is cut into segments.
@@ -210,42 +211,65 @@ def reassemble(parsed: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``pages`` (page_id, url, payload) with refers_to: of equal payloads of min_bytes or more the largest page_id, null on that page itself.
+    """``pages`` (page_id, url, payload) as key, url, payload, refers_to: a key for each row, and for revisits the key of the response.
 
-    Payloads are equal by their SHA-256. Digests are shuffled; payloads only where the
-    revisits are too many to broadcast.
+    Of equal payloads of min_bytes or more the row with the largest page_id, then url, is the
+    response; of equal rows the first. The key is the page_id, with a digest of the url and
+    a number where rows repeat a page_id with one payload or have none.
+
+    Payloads are equal by their SHA-256. Digests are shuffled; payloads only of rows that
+    repeat, or where the revisits are too many to broadcast.
     """
-    marked = pages.withColumn("mark", F.sha2("payload", 256))
-    last = marked.where(F.length("payload") >= min_bytes).groupBy(F.col("mark").alias("m")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    found = marked.select("page_id", "mark").join(last, F.col("mark") == F.col("m")).where("page_id <> last").select(F.col("page_id").alias("p"), "m", F.col("last").alias("refers_to")).distinct()
+    digest, bytes_ = F.sha2("payload", 256).alias("digest"), F.length("payload").alias("bytes")
+    mark = F.xxhash64("digest", "page_id").alias("mark")
+    narrow = materialise(pages.select(digest, bytes_, "page_id", "url").select("*", mark, F.struct("page_id", "url", "digest").alias("page")), "warc-digests")
+    again = repeated(narrow, "mark")
+    side = small(again)
+
+    def keyed(rows: DataFrame, id_: str, url: str) -> DataFrame:
+        """``rows`` with occurrence and key; pages of a repeated mark differ by url or occurrence."""
+        own = F.concat_ws("/", F.coalesce(F.col(id_).cast("string"), F.lit("null")), F.substring(F.md5(F.coalesce(url, F.lit("")).cast("binary")), 1, 16), "occurrence")
+        alone = F.col("_mark").isNull() & F.col(id_).isNotNull()
+        of = numbered(rows, "mark", "page", again).join(side, F.col("mark") == side["_mark"], "left")
+        return of.withColumn("key", F.when(alone, F.col(id_).cast("string")).otherwise(own)).drop("_mark")
+
+    names = materialise(keyed(narrow, "page_id", "url"), "warc-keys")
+    order = F.struct("page_id", "url", (-F.col("occurrence")).alias("o"), "key")
+    last = names.where(F.col("bytes") >= min_bytes).groupBy(F.col("digest").alias("m")).agg(F.max(order).alias("last"), F.count("*").alias("n")).where("n > 1").select("m", F.col("last.key").alias("to"))
+    found = names.select("key", "digest").join(last, F.col("digest") == F.col("m")).where("key <> to").select(F.col("key").alias("k"), "m", F.col("to").alias("refers_to"))
     found = small(materialise(found, "warc-revisits"))
-    return marked.join(found, (F.col("page_id") == F.col("p")) & (F.col("mark") == F.col("m")), "left").select("page_id", "url", "payload", "refers_to")
+    whole = pages.select(F.sha2("payload", 256).alias("digest"), F.struct("page_id", "url", "payload").alias("page"))
+    whole = keyed(whole.withColumn("mark", F.xxhash64("digest", "page.page_id")), "page.page_id", "page.url")
+    return whole.join(found, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("m")), "left").select("key", "page.url", "page.payload", "refers_to")
 
 
 def archive_pages(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html; null html is empty) as WARC archives with revisits.
 
-    Rows without a page_id are written as responses under the key ``null``. Extra columns
-    are ignored; an empty table writes no records. Rows that repeat a page_id with the same
-    payload share their identifier: they are one page, and read back as one.
+    One record a row, also for rows that repeat or have no page_id (their keys begin with
+    ``null``); see revisits(). Extra columns are ignored; an empty table writes no records.
     """
     bare = pick(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    keyed = revisits(bare).select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
-    write_archives(keyed, path)
+    write_archives(revisits(bare), path)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = scratch(spark, "warc")
     archive_pages(pages, path)
-    records_read = reassemble(read_archives(spark, path)).where("complete")
+    records_read = reassemble(read_archives(spark, path))
+    page = F.split_part("key", F.lit("/"), F.lit(1)).try_cast("long")
+    damaged = F.raise_error(F.concat(F.lit("a record is incomplete: "), "record_id"))
     own = materialise(
         records_read.select(
-            "record_id", F.col("key").try_cast("long").alias("page_id"), "record_type", "refers_to",
+            F.when(F.col("complete"), F.col("record_id")).otherwise(damaged).alias("record_id"), page.alias("page_id"), "record_type", "refers_to",
             F.length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"),
-        ).distinct(),
+        ),
         "warc-read",
     )
+    wrote, read = pages.count(), own.count()
+    if wrote != read:
+        raise RuntimeError(f"{wrote} pages were written, {read} records read back")
     sources = own.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to"), F.col("bytes").alias("b"), F.col("sha1").alias("s"))
     return own.join(sources, "refers_to", "left").select(
         "page_id", F.coalesce("bytes", "b").alias("payload_bytes"), F.coalesce("sha1", "s").alias("payload_digest"), "record_type", F.col("to").alias("refers_to")
@@ -254,9 +278,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS n FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
-       CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN last END AS refers_to
+       CASE WHEN strlen(h) >= 1000 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 1000 AND n > 1 THEN last END AS refers_to
 FROM g
 """
