@@ -8,7 +8,9 @@ most. A bucket's place follows from bucket counts taken beforehand, so that no t
 waits for another and the permuted rows go straight to committed files: a task that is
 run again can't deal a slot twice.
 
-Only DataFrame and SQL functions are used. ``shuffle`` is Spark's Fisher-Yates.
+Only DataFrame and SQL functions are used. ``shuffle`` is Spark's Fisher-Yates; its
+generator starts from the seed and the partition's number. A bucket is a partition of its
+own and is sorted first, so the order is a function of the rows alone.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafstrata.llm.common import materialise, scratch, table
+from leafstrata.llm.common import materialise, numbered, scratch, table
 
 #: UTF-8 bytes of text plus the fixed 16 a row that a bucket is meant to hold.
 BUCKET_BYTES = 8 << 20
@@ -42,10 +44,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20, b
 
     Files hold the struct ``doc`` of all columns and ``slot``, gapless from 0 in each shard.
     Null texts weigh 16 bytes and stay null; equal texts are dealt like any others, since
-    a row's hash starts from its doc_id. Rows that repeat a doc_id with the same text land
-    in one bucket. With fewer rows than shards the last shards stay empty; an empty table
-    writes no rows. The layout is a function of rows, seed and bucket size, the order
-    inside a bucket also of the number of partitions.
+    a row's hash starts from its doc_id, and rows that are equal in all columns are numbered
+    and dealt one by one. A text longer than a bucket has a bucket of its own size. With
+    fewer rows than shards the last shards stay empty; an empty table writes no rows. The
+    layout is a function of rows, shards, seed and bucket size, however the rows come
+    partitioned.
     """
     names = docs.columns
     text, key = docs["text"], docs["doc_id"]
@@ -54,12 +57,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20, b
     rows = docs.select(mark.alias("mark"), size.alias("size"), F.struct(*[docs[c] for c in names]).alias("doc"))
     total, weight = rows.agg(F.count("*"), F.sum("size")).first()
     buckets = max(1, -(-(weight or 0) // bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), F.lit(buckets)))
+    rows = numbered(rows, "mark", "doc")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark", "occurrence"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one short row a bucket
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # in one task, but one short row a bucket: choose bucket_bytes for a few million at most
     starts = materialise(counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "shard-starts")
-    dealt = rows.repartition(int(min(buckets, 100_000)), "bucket").groupBy("bucket")
-    held = dealt.agg(F.sort_array(F.collect_list(F.struct("mark", "doc"))).alias("held"))
+    dealt = rows.repartitionById(int(buckets), F.col("bucket")).groupBy("bucket")
+    held = dealt.agg(F.sort_array(F.collect_list(F.struct("mark", "occurrence", "doc"))).alias("held"))
     order = held.select("bucket", F.shuffle("held", seed).alias("held")).join(starts, "bucket")
     shard, slot = _slots(total, shards)
     (
