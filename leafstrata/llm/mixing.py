@@ -2,9 +2,10 @@
 
 A source with n of the N documents and target weight w is repeated at the mean rate
 ``budget * w / n``. Each document draws its number of copies by inverting the Poisson
-distribution at a uniform number taken from a seeded hash of its doc_id, is exploded by
-that count, and all copies are dealt anew by a hash of (seed, doc_id, copy). Draws are
-independent of partitioning and of reruns.
+distribution at a uniform number taken from a seeded hash of its name, is exploded by
+that count, and all copies are dealt anew by a hash of (seed, name, copy). A name is the
+doc_id, or a digest of source and text where that is null; the second and later of equal
+rows carry their number too. Draws are independent of partitioning and of reruns.
 
 Rates over PIECE are split into equal parts with a hash each, since a sum of Poisson
 draws is a Poisson draw: the table of a distribution stays short at any rate and no
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafstrata.llm.common import table
+from leafstrata.llm.common import materialise, numbered, table
 
 #: Largest rate inverted at once, and the terms of its distribution: beyond 64 less than 1e-30 is left.
 PIECE, TERMS = 8, 64
@@ -65,11 +66,11 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float | Non
 
 
 def copies(docs: DataFrame, table_of_rates: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with ``rate`` and ``copies``: the inverse of the source's distribution at the document's draws."""
+    """``docs`` (source and name) with ``rate`` and ``copies``: the inverse of the source's distribution at the document's draws."""
     few = table_of_rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     side = table_of_rates.select(F.col("source").alias("_s"), "rate", "pieces", "cdf")
     joined = docs.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_s")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda i: _uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), i))
+    draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda i: _uniform(F.lit(seed), F.col("name"), i))
     count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
     return joined.withColumn("copies", count).drop("_s", "pieces", "cdf")
 
@@ -78,17 +79,23 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, budget: float
     """All columns of ``docs`` (which has doc_id and source), rate, copies, copy (from 1) and mix_key.
 
     One row a copy, dealt over all partitions and sorted inside them by mix_key, which
-    orders the whole result at random. Null and repeated doc_ids draw alike wherever they
-    are equal; null and empty texts are copied like any. Sources of weight 0 vanish. An
-    empty table gives no rows. Columns named rate, copies, copy, mix_key, weight, n, pieces,
+    orders the whole result at random. Equal rows, and rows with a null doc_id, draw each
+    for itself; different rows with one doc_id draw alike. Null, empty and very long texts
+    are copied like any. Sources of weight 0 vanish. An empty table gives no rows. Columns named rate, copies, copy, mix_key, weight, n, pieces,
     cdf or _s in ``docs`` are not touched: they are carried in a struct meanwhile.
     """
     names = docs.columns
-    inner = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"))
-    counted = copies(inner, rates(inner.select("source"), weights, budget), seed).where("copies > 0")
+    text = docs["text"] if "text" in names else F.lit(None).cast("string")
+    anonymous = F.concat(F.lit("null:"), F.md5(F.concat(F.coalesce(docs["source"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
+    name = F.coalesce(docs["doc_id"].cast("string"), anonymous)
+    inner = docs.select(name.alias("name"), docs["source"].alias("source"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"))
+    dealt = materialise(rates(inner.select("source"), weights, budget), "rates")
+    inner = numbered(inner.withColumn("mark", F.xxhash64("name", "source", F.crc32(F.coalesce(F.col(f"_row.c{names.index('text')}") if "text" in names else F.lit(""), F.lit("")).cast("binary")))), "mark", "_row")
+    inner = inner.withColumn("name", F.when(F.col("occurrence") > 1, F.concat("name", F.lit("#"), "occurrence")).otherwise(F.col("name")))
+    counted = copies(inner, dealt, seed).where("copies > 0")
     spread = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy")).cast("binary"))
-    mixed = spread.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "name", "copy").cast("binary"))
+    mixed = spread.withColumn("mix_key", key).repartition("mix_key", "mark").sortWithinPartitions("mix_key")  # by the mark too, so that one doc_id of many rows is split
     own = [F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]
     added = [c for c in ("rate", "copies", "copy", "mix_key") if c not in {x.lower() for x in names}]
     return mixed.select(*own, *added)
@@ -107,11 +114,13 @@ r AS (SELECT source, all_n::DOUBLE * units / all_units / n AS rate FROM u, t),
 p AS (SELECT source, rate, greatest(ceil(rate / 8), 1)::INT AS pieces FROM r),
 c AS (SELECT source, rate / pieces AS part, 0 AS k, exp(-(rate / pieces)) AS p, exp(-(rate / pieces)) AS c FROM p
       UNION ALL SELECT source, part, k + 1, p * part / (k + 1), c + p * part / (k + 1) FROM c WHERE k < 63),
-draws AS (SELECT doc_id, d.source, text, i,
-                 ('0x' || substr(md5('10:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS v
-          FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, pieces + 1)) AS x(i)),
-drawn AS (SELECT doc_id, draws.source, any_value(text) AS text, CAST(count(c.c) FILTER (WHERE c.c <= v) AS INT) AS copies
-          FROM draws JOIN c ON draws.source IS NOT DISTINCT FROM c.source GROUP BY doc_id, draws.source)
-SELECT doc_id, source, text, copies, CAST(j AS INT) AS copy, md5('10:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || j) AS mix_key
+again AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, text) AS nth FROM documents),
+named AS (SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(source, '') || ':' || coalesce(text, ''))) || CASE WHEN nth > 1 THEN '#' || nth ELSE '' END AS name FROM again),
+draws AS (SELECT doc_id, d.source, text, name, i,
+                 ('0x' || substr(md5('10:' || name || ':' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS v
+          FROM named d JOIN p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, pieces + 1)) AS x(i)),
+drawn AS (SELECT doc_id, draws.source, text, name, CAST(count(c.c) FILTER (WHERE c.c <= v) AS INT) AS copies
+          FROM draws JOIN c ON draws.source IS NOT DISTINCT FROM c.source GROUP BY doc_id, draws.source, text, name)
+SELECT doc_id, source, text, copies, CAST(j AS INT) AS copy, md5('10:order:' || name || ':' || j) AS mix_key
 FROM drawn, unnest(range(1, copies + 1)) AS y(j)
 """

@@ -450,3 +450,56 @@ def test_parity_bitmaps_bound_the_difference():
         apart = similar.parity_difference(similar.parity(one), similar.parity(two))
         assert apart <= len(np.setxor1d(one, two)) and (apart > 0.4 * len(np.setxor1d(one, two)) or a > 30_000)
         assert similar.parity_difference(similar.parity(one), similar.parity(one)) == 0
+
+
+def test_training_rows_are_bounded_by_documents(spark):
+    from leafstrata.llm.common import training_rows
+
+    lab = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 1)], LABELS)
+    rows = documents(spark, [(i % 4, "a" if k else None, "s", 0) for i in range(400) for k in (0, 1)])
+    got = training_rows(lab, rows, "quality", 5, 99, 2)
+    assert got.count() == 2 and {r.text for r in got.collect()} == {"a"}
+
+
+def repeated(spark, n, others):
+    """n equal rows, dealt over partitions, and others."""
+    return spark.range(n).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'same text' AS text", "'hot' AS source", "CAST(1 AS INT) AS score").repartition(8).unionByName(documents(spark, others))
+
+
+def test_shards_of_a_hot_row_are_split_and_don_t_depend_on_partitions(spark):
+    rows = repeated(spark, 100_000, [(i, f"t{i}", "s", i) for i in range(4000)])
+    layouts = []
+    for n in (3, 7, 40):
+        path = scratch(spark, "shards")
+        sharding.write_shards(rows.repartition(n), path, bucket_bytes=100_000)
+        got = sharding.read_shards(spark, path)
+        layouts.append(sorted((r.shard, r.slot, str(r.doc)) for r in got.collect()))
+        sizes = got.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+        assert sizes < 20_000  # no bucket holds the hot row's copies together
+    assert layouts[0] == layouts[1] == layouts[2] and len(layouts[0]) == 104_000
+
+
+def test_mixing_equal_rows_and_rows_without_id_draw_for_themselves(spark):
+    rows = repeated(spark, 100_000, [(None, f"t{i}", "hot", i) for i in range(1000)] + [(5, "a", "hot", 1), (5, "b", "hot", 2)])
+    got = mixing.poisson_mix(rows)
+    assert got.select("mix_key").distinct().count() >= got.count() - 4
+    kinds = got.groupBy("text").agg(F.max("copies").alias("most"), F.count("*").alias("n")).toPandas().set_index("text")
+    assert kinds.most["same text"] > 4 and abs(kinds.n["same text"] - 100_000) < 2500
+    assert len({r.copies for r in got.where("text like 't%'").select("copies").distinct().collect()}) > 3
+    largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 60_000
+
+
+def test_warc_of_repeated_pages(spark, tmp_path):
+    long = "x" * 2000
+    rows = [(1, "u", "short")] * 2 + [(2, "u", long)] * 2 + [(2, "v", long), (1, "u", long), (None, "u", long), (None, "u", long), (None, "w", "short"), (None, None, None)]
+    df = spark.createDataFrame(rows, PAGE)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op5_warc(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert sorted((r.record_type, r.refers_to) for r in got if r.payload_bytes == 2000) == [("response", None)] + [("revisit", 2)] * 5
+    assert {r.record_type for r in got if r.payload_bytes < 1000} == {"response"}
+    path = scratch(spark, "warc")
+    warc.archive_pages(df, path)
+    read = warc.reassemble(warc.read_archives(spark, path)).collect()
+    assert len({r.record_id for r in read}) == len(rows) and all(r.complete for r in read)
