@@ -183,18 +183,44 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     bad = [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [float("nan")] * 4), (903, [float("inf"), 0.0, 0.0, 0.0]), (904, []), (None, [1.0] * 4), (905, [9.0] * 3)]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").withColumn("block", F.lit(1)).withColumn("dim", F.lit(2))
     got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()
-    assert sorted(map(tuple, got)) == brute_top(good, [v for v in good if v[0] % 50 == 0], 5)
+    assert sorted(tuple(r)[:4] for r in got) == brute_top(good, [v for v in good if v[0] % 50 == 0], 5)
     few = topk.top_k(df.where("vec_id < 3"), df.where("vec_id < 3"), 5)
     assert few.count() == 6 and topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
-def test_va_file_reads_few_vectors_and_bounds_hold():
+def test_va_file_bounds_hold_and_few_vectors_survive():
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(0, 40, (4000, 32)))
-    va, q = topk.VaFile(x), x[:50]
-    bounds = va.bounds(q)
-    assert (bounds >= q @ x.T - 1e-6).all()
-    assert np.mean([va.top(q[i], bounds[i], np.arange(4000), i, 5)[2] for i in range(50)]) < 400
+    for bits in (1, 4, 8, 10):
+        low, high = topk.VaFile.of(x, bits).bounds(x[:50])
+        assert (high >= x[:50] @ x.T).all() and (low <= x[:50] @ x.T).all()
+    low, high = topk.VaFile.of(x).bounds(x[:50])
+    assert np.mean((high >= topk.kth_highest(low, 5)[:, None]).sum(1)) < 60
+    assert topk.kth_highest(np.ones((2, 3)), 4).tolist() == [-np.inf] * 2
+
+
+def test_exact_vectors_are_read_in_order_until_the_kth_is_certain():
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(-50, 50, (200, 4)).astype(float), np.array([1.0, -2, 3, 4])
+    bound = x @ q + rng.random(200) * 30
+    order = np.argsort(-bound)
+    best, read = topk.read_in_order(q, ((bound[i], int(i), x[i]) for i in order), 5)
+    assert best == sorted(((int(s), i) for i, s in enumerate((x @ q).tolist())), key=lambda b: (-b[0], b[1]))[:5]
+    assert 5 <= read < 100 and (bound[order[read:]] < best[-1][0]).all()
+
+
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    """Small blocks and packs; equal query rows are one query, another vector under the same id is a query of its own."""
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERY_PACK", 3)
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(3)]) for i in range(60)]
+    rows += [rows[50], rows[50], (50, [0.25, 0.5, -0.5]), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), 5).collect()
+    queries = {(i, tuple(v)) for i, v in rows if i % 10 == 0}
+    want = sorted(r for i, v in queries for r in brute_top(rows, [(i, v)], 5))
+    assert sorted(tuple(r)[:4] for r in got) == want and len(queries) == 7
 
 
 def test_secret_patterns():
