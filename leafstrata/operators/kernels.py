@@ -183,7 +183,7 @@ def gaussian_weights(sigma: float) -> np.ndarray:
     if radius < 1:
         return np.ones(1, np.float32)
     i = np.arange(-radius, radius + 1)
-    k = np.exp(-(i * i).astype(np.float32) / (np.float32(2) * s * s)).astype(np.float32)
+    k = np.exp((-(i * i).astype(np.float32) / (np.float32(2) * s * s)).astype(np.float64)).astype(np.float32)  # the exponent is single, its power double
     total = np.float32(0)
     for v in k:
         total += v

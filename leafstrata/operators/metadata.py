@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from xml.dom import minidom
+from xml.parsers.expat import ExpatError
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafstrata.plans.lineage import cut
@@ -11,6 +15,10 @@ from leafstrata.plans.lineage import cut
 INFO_FIELDS = ("title", "author", "subject", "keywords", "creator", "producer")
 
 
+#: Digits of an ordinal in an outline path: those of the largest int, so that paths sort as ordinals do.
+DIGITS = 10
+
+
 def producer_chain(existing: Column, producer: Column) -> Column:
     """``existing -> producer``; producer alone where there is none or it is blank."""
     return F.when(existing.isNull() | (F.trim(existing) == ""), producer).otherwise(F.concat(existing, F.lit(" -> "), producer))
@@ -43,9 +51,15 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def annotations(pages: DataFrame) -> DataFrame:
-    """Link annotations with their attributes, the reference to the page (key P) dropped."""
+    """Link annotations of each page with their attributes, the reference to the page (key P) dropped: two links a page."""
     attrs = F.create_map(F.lit("P"), F.col("doc_id").cast("string"), F.lit("Subtype"), F.lit("Link"), F.lit("URI"), F.col("uri"))
-    return links(pages).select("doc_id", F.lit(0).alias("page_no"), "ordinal", F.lit("Link").alias("subtype"), F.map_filter(attrs, lambda k, _: k != "P").alias("attrs"))
+    return links(pages).select("doc_id", F.expr("ordinal div 2").cast("int").alias("page_no"), "ordinal", F.lit("Link").alias("subtype"), F.map_filter(attrs, lambda k, _: k != "P").alias("attrs"))
+
+
+def copied_annotations(notes: DataFrame, source: DataFrame, output: DataFrame) -> DataFrame:
+    """``notes`` on the pages that source and output both have: up to the smaller of the two counts (doc_id, n_pages)."""
+    both = source.join(output.select("doc_id", F.col("n_pages").alias("n_out")), "doc_id").select("doc_id", F.least("n_pages", "n_out").alias("_n"))
+    return notes.join(both, "doc_id").where(F.col("page_no") < F.col("_n")).drop("_n")
 
 
 def attachments(pages: DataFrame) -> DataFrame:
@@ -68,14 +82,14 @@ def outline_tree(items: DataFrame) -> DataFrame:
     Levels are joined one at a time until none is left; a tree's depth bounds the rounds.
     """
     titled = items.withColumn("title", F.coalesce("title", F.lit("")))
-    level = titled.where("parent_id IS NULL").select("doc_id", "item_id", F.lit(0).alias("depth"), F.lpad(F.col("ordinal").cast("string"), 4, "0").alias("path"), "title")
+    level = titled.where("parent_id IS NULL").select("doc_id", "item_id", F.lit(0).alias("depth"), F.lpad(F.col("ordinal").cast("string"), DIGITS, "0").alias("path"), "title")
     child = titled.where("parent_id IS NOT NULL").select("doc_id", F.col("item_id").alias("c_id"), "parent_id", "ordinal", F.col("title").alias("c_title"))
     found = [level]
     while True:
         level = cut(
             level.select("doc_id", F.col("item_id").alias("parent_id"), "depth", "path").join(child, ["doc_id", "parent_id"]).select(
                 "doc_id", F.col("c_id").alias("item_id"), (F.col("depth") + 1).alias("depth"),
-                F.concat("path", F.lit("/"), F.lpad(F.col("ordinal").cast("string"), 4, "0")).alias("path"), F.col("c_title").alias("title"),
+                F.concat("path", F.lit("/"), F.lpad(F.col("ordinal").cast("string"), DIGITS, "0")).alias("path"), F.col("c_title").alias("title"),
             )
         )
         if level.isEmpty():
@@ -109,39 +123,99 @@ def preserve_counts(pages: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) of all nodes that a copy from each root visits once, cycles or not.
 
-    ``edges`` has src and dst, ``roots`` has root. The frontier is joined, deduplicated and
-    cleared of what was visited, until it is empty.
+    ``edges`` has src and dst, ``roots`` has root. See copy_graph().
     """
-    frontier = cut(roots.select("root", F.col("root").alias("node")).distinct())
-    seen = frontier
+    start = roots.select(F.col("root").alias("doc_id"), F.col("root").alias("node"), F.lit("node").alias("kind")).distinct()
+    step = edges.select("src", "dst", F.lit("node").alias("dst_kind"))
+    return _visited(step, start, False).select(F.col("doc_id").alias("root"), "node")
+
+
+def _visited(edges: DataFrame, start: DataFrame, local: bool) -> DataFrame:
+    """(doc_id, node, kind) in reach of ``start``, by rounds: the frontier is joined, deduplicated and cleared of what
+    earlier rounds visited, until it is empty. Rounds are written apart, so that none is written twice."""
+    frontier = cut(start)
+    rounds = [frontier]
+    step = edges.withColumnRenamed("src", "node")
+    keys = ["doc_id", "node"] if local else ["node"]
     while True:
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["root", "node"], "left_anti"))
+        new = frontier.select("doc_id", "node").distinct().join(step, keys).select("doc_id", F.col("dst").alias("node"), F.col("dst_kind").alias("kind")).distinct()
+        seen = rounds[0]
+        for r in rounds[1:]:
+            seen = seen.unionByName(r)
+        frontier = cut(new.join(seen, ["doc_id", "node", "kind"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        rounds.append(frontier)
+
 
+def copy_graph(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Deep copies inside documents: doc_id, node, kind, value of each copy that the roots (doc_id, node, kind) lead to.
 
-def link_graph(pages: DataFrame) -> DataFrame:
-    """src, dst: a cyclic graph over documents by a rule on their anchors."""
-    n = pages.agg(F.count("*").alias("n"))
-    return links(pages).join(F.broadcast(n)).selectExpr("doc_id AS src", "(doc_id * 31 + ordinal * 17 + length(uri)) % n AS dst").distinct()
+    ``nodes`` has doc_id, node, kind and value, ``edges`` doc_id, src, dst and dst_kind, the
+    kind as which the source refers to the target. A node is copied once for each kind it is
+    referred to as, cycles or not: an earlier copy of another kind doesn't serve.
+    """
+    seen = _visited(edges, roots.distinct(), True)
+    return seen.join(nodes.select("doc_id", "node", "value"), ["doc_id", "node"])
+
+
+def link_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a cyclic graph over each document's anchors: every anchor refers to two others by a rule on its text."""
+    at = links(pages).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    kind = "element_at(array('dictionary', 'array', 'stream'), CAST(({0}) % 3 AS INT) + 1)"
+    nodes = at.selectExpr("doc_id", "CAST(ordinal AS INT) AS node", f"{kind.format('ordinal')} AS kind", "uri AS value")
+    refer = "array(struct(CAST((ordinal * 31 + length(uri)) % n AS INT) AS dst, 0 AS k), struct(CAST((ordinal + 1) % n AS INT) AS dst, length(uri) AS k))"
+    edges = at.selectExpr("doc_id", "CAST(ordinal AS INT) AS src", f"inline({refer})")
+    return nodes, edges.selectExpr("doc_id", "src", "dst", f"{kind.format('dst + k div 5')} AS dst_kind").distinct()
 
 
+#: What PDF/A-2b identification says, and the public marks of an XMP packet (fixed values).
 PDFA_PART, PDFA_CONFORMANCE = "2", "B"
+PDFA, RDF = "http://www.aiim.org/pdfa/ns/id/", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+XMP_OPEN = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="{RDF}">'
+XMP_CLOSE = "</rdf:RDF></x:xmpmeta>"
+PACKET_BEGIN, PACKET_END = '<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>\n', '\n<?xpacket end="w"?>'
 
 
-def pdfa_identification(xmp: Column) -> Column:
-    """An XMP packet with part and conformance in its first Description, each added only where absent.
+def static_packet() -> str:
+    """The packet of a document that has none, or none that can be read."""
+    own = f'<rdf:Description rdf:about="" xmlns:pdfaid="{PDFA}"><pdfaid:part>{PDFA_PART}</pdfaid:part><pdfaid:conformance>{PDFA_CONFORMANCE}</pdfaid:conformance></rdf:Description>'
+    kind = '<rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:format>application/pdf</dc:format></rdf:Description>'
+    return PACKET_BEGIN + XMP_OPEN + own + kind + XMP_CLOSE + PACKET_END
 
-    Null packets get a minimal one; packets without the expected marks stay as they are.
+
+def identified(xmp: str | None) -> str:
+    """An XMP packet with part and conformance in its first Description, each added only where the packet has none.
+
+    A null packet, or one that isn't well-formed, gives way to the static one; text without
+    the element's marks stays as it is.
     """
-    ns = 'xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/"'
-    own = F.lit(f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" {ns}><pdfaid:part>{PDFA_PART}</pdfaid:part><pdfaid:conformance>{PDFA_CONFORMANCE}</pdfaid:conformance></rdf:Description></rdf:RDF></x:xmpmeta>')
-    add = F.concat(
-        F.when(~xmp.contains("pdfaid:part"), F.lit(f"<pdfaid:part {ns}>{PDFA_PART}</pdfaid:part>")).otherwise(F.lit("")),
-        F.when(~xmp.contains("pdfaid:conformance"), F.lit(f"<pdfaid:conformance {ns}>{PDFA_CONFORMANCE}</pdfaid:conformance>")).otherwise(F.lit("")),
-    )
-    open_tag = F.regexp_extract(xmp, "(?s)^(.*?<rdf:Description[^>]*[^/>]>)", 1)
-    merged = F.concat(open_tag, add, F.substr(xmp, F.length(open_tag) + 1))
-    return F.when(xmp.isNull(), own).when(~xmp.contains("<x:xmpmeta") | (open_tag == ""), xmp).otherwise(merged)
+    if xmp is None:
+        return static_packet()
+    start, end = xmp.find("<x:xmpmeta"), xmp.rfind("</x:xmpmeta>")
+    if start < 0 or end <= start:
+        return xmp
+    try:
+        doc = minidom.parseString(xmp[start : end + len("</x:xmpmeta>")].encode())
+    except ExpatError:
+        return static_packet()
+    found = doc.getElementsByTagNameNS(RDF, "Description")
+    if found:
+        found[0].setAttributeNS("http://www.w3.org/2000/xmlns/", "xmlns:pdfaid", PDFA)
+        for name, value in (("part", PDFA_PART), ("conformance", PDFA_CONFORMANCE)):
+            if not doc.getElementsByTagNameNS(PDFA, name):
+                element = doc.createElementNS(PDFA, f"pdfaid:{name}")
+                element.appendChild(doc.createTextNode(value))
+                found[0].appendChild(element)
+    return PACKET_BEGIN + doc.documentElement.toxml() + PACKET_END
+
+
+def pdfa_identification(packets: DataFrame) -> DataFrame:
+    """doc_id and xmp of ``packets`` (the same columns; xmp a string or null) after identified(), in Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array(list(map(identified, b.column(1).to_pylist())), pa.string())], names=["doc_id", "xmp"])
+
+    rows = packets.select("doc_id", "xmp")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, xmp string")

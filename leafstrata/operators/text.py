@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: CJK ranges of the baseline and font rules, as a character class (fixed values).
-CJK = "[㐀-䶿一-鿿぀-ゟ゠-ヿ가-힯]"
+CJK = "[\u4e00-\u9fff\u3040-\u309f\u30a0-\u30ff\uac00-\ud7af\u3400-\u4dbf]"
 PAGE = ("doc_id", "page_no")
 
 

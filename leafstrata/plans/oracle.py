@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafstrata.operators.metadata import PACKET_BEGIN, PACKET_END, PDFA, XMP_CLOSE, XMP_OPEN, static_packet
 from leafstrata.plans.queries import AREA, DIM, DPI, K, R, SHARE, TILE, WINDOW
 from leafstrata.sources.derive import GLYPH_SQL, GRAY_SQL, LINES_A_PAGE
 
@@ -130,8 +131,8 @@ CAST(sum(CAST(height AS BIGINT)) AS BIGINT) AS sh, max(seq) AS last FROM glyph G
     "word_count_sampled": f"""WITH l AS (SELECT doc_id, (i - 1) // {LINES_A_PAGE} AS page_no, string_split(coalesce(text, ''), chr(10))[i] AS s FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
 n AS (SELECT doc_id, max(page_no) + 1 AS total, sum(CASE WHEN page_no < 10 THEN len(regexp_extract_all(s, '\\S+')) ELSE 0 END) AS n FROM l GROUP BY doc_id)
 SELECT doc_id, CAST(CASE WHEN total <= 10 THEN n ELSE floor(CAST(n AS DOUBLE) / 10 * total) END AS BIGINT) AS words FROM n""",
-    "cjk_pages": "SELECT doc_id, bool_or(regexp_matches(coalesce(text, ''), '[㐀-䶿一-鿿぀-ゟ゠-ヿ가-힯]')) AS cjk FROM (SELECT doc_id, text FROM documents UNION ALL VALUES (-1, 'ab漢'), (-2, 'カナ'), (-3, '한글'), (-4, 'latin')) GROUP BY doc_id",
-    "encodable_text": f"""WITH t AS (SELECT * FROM ({_TOKENS}) WHERE word <> '' UNION ALL VALUES (-1, 'AB😀CD'), (-2, '漢x')), c AS (SELECT doc_id, unnest(string_split(word, '')) AS ch FROM t)
+    "cjk_pages": "SELECT doc_id, bool_or(regexp_matches(coalesce(text, ''), '[\u4e00-\u9fff\u3040-\u309f\u30a0-\u30ff\uac00-\ud7af\u3400-\u4dbf]')) AS cjk FROM documents GROUP BY doc_id",
+    "encodable_text": f"""WITH t AS (SELECT * FROM ({_TOKENS}) WHERE word <> ''), c AS (SELECT doc_id, unnest(string_split(word, '')) AS ch FROM t)
 SELECT doc_id, CAST(sum(CASE WHEN unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 161 AND 255 THEN 0 WHEN unicode(ch) > 65535 THEN 2 ELSE 1 END) AS BIGINT) AS skipped,
 CAST(sum(CASE WHEN unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 161 AND 255 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM c GROUP BY doc_id""",
     "baseline_ratio": f"WITH {TO_BOXES}, {RATIO} SELECT doc_id, page_no, line_no, word_no, CAST(floor(CAST(ratio AS DOUBLE) * 10000 + 0.5::DOUBLE) AS INT) AS ratio FROM ratio",
@@ -150,19 +151,25 @@ n AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id
 SELECT user_id, session_no, count(*) AS events, min(event_id) AS first_event FROM n GROUP BY ALL""",
     "doc_info": f"WITH {INFO} SELECT doc_id, field, value FROM (UNPIVOT info ON title, author, subject, keywords, creator, producer INTO NAME field VALUE value)",
     "producer_chain": f"WITH {INFO} SELECT doc_id, CASE WHEN producer IS NULL OR trim(producer) = '' THEN 'leafstrata' ELSE producer || ' -> leafstrata' END AS producer FROM info",
-    "outline_tree": f"""WITH RECURSIVE {ITEMS}, tree AS (SELECT doc_id, item_id, 0 AS depth, lpad(CAST(ordinal AS VARCHAR), 4, '0') AS path, coalesce(title, '') AS title FROM items WHERE parent_id IS NULL
-UNION ALL SELECT i.doc_id, i.item_id, depth + 1, path || '/' || lpad(CAST(i.ordinal AS VARCHAR), 4, '0'), coalesce(i.title, '') FROM tree JOIN items i ON i.doc_id = tree.doc_id AND i.parent_id = tree.item_id) SELECT * FROM tree""",
+    "outline_tree": f"""WITH RECURSIVE {ITEMS}, tree AS (SELECT doc_id, item_id, 0 AS depth, lpad(CAST(ordinal AS VARCHAR), 10, '0') AS path, coalesce(title, '') AS title FROM items WHERE parent_id IS NULL
+UNION ALL SELECT i.doc_id, i.item_id, depth + 1, path || '/' || lpad(CAST(i.ordinal AS VARCHAR), 10, '0'), coalesce(i.title, '') FROM tree JOIN items i ON i.doc_id = tree.doc_id AND i.parent_id = tree.item_id) SELECT * FROM tree""",
     "outline_dest": f"""WITH {ITEMS}, n AS (SELECT page_id AS doc_id, greatest(1, ceil(len(regexp_extract_all(html, '<p>')) / 5)) AS n_pages FROM pages)
 SELECT doc_id, item_id, CASE WHEN dest_page < n_pages THEN dest_page END AS dest_page FROM items LEFT JOIN n USING (doc_id)""",
-    "annotations": f"WITH {LINKS} SELECT doc_id, 0 AS page_no, ordinal, 'Link' AS subtype, uri, 'Subtype,URI' AS keys FROM links",
+    "annotations": f"""WITH {LINKS}, n AS (SELECT page_id AS doc_id, greatest(1, ceil(len(regexp_extract_all(html, '<p>')) / 5)) - page_id % 2 AS n FROM pages)
+SELECT doc_id, CAST(ordinal // 2 AS INT) AS page_no, ordinal, 'Link' AS subtype, uri, 'Subtype,URI' AS keys FROM links JOIN n USING (doc_id) WHERE ordinal // 2 < n""",
     "attachments": """WITH f AS (SELECT page_id, 'style' AS subtype, regexp_extract_all(html, '<style>(.*?)</style>', 1) AS c FROM pages UNION ALL SELECT page_id, 'script', regexp_extract_all(html, '<script>(.*?)</script>', 1) FROM pages)
 SELECT page_id AS doc_id, subtype || '-' || (i - 1) AS name, subtype, CAST(strlen(c[i]) AS INT) AS size, sha256(c[i]) AS sha256 FROM f, unnest(range(1, len(c) + 1)) AS t(i)""",
     "preserve_counts": f"""WITH {LINKS}, a AS (SELECT doc_id, count(*) AS n FROM links GROUP BY doc_id)
 SELECT page_id AS doc_id, CAST(regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> '' AS BIGINT) AS outlines, coalesce(n, 0) AS annotations,
 CAST(len(regexp_extract_all(html, '<style>(.*?)</style>')) + len(regexp_extract_all(html, '<script>(.*?)</script>')) AS BIGINT) AS embedded_files FROM pages LEFT JOIN a ON a.doc_id = page_id""",
-    "graph_copy": f"""WITH RECURSIVE {LINKS}, e AS MATERIALIZED (SELECT DISTINCT doc_id AS src, (doc_id * 31 + ordinal * 17 + length(uri)) % (SELECT count(*) FROM pages) AS dst FROM links),
-r AS (SELECT page_id AS root, page_id AS node FROM pages WHERE page_id % 50 = 0 UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node) SELECT root, node FROM r""",
-    "pdfa_identification": """SELECT page_id AS doc_id, page_id % 4 = 2 AS same, page_id % 4 <> 2 AS has_conformance, CASE page_id % 4 WHEN 2 THEN 0 ELSE 1 END AS parts FROM pages""",
+    "graph_copy": f"""WITH RECURSIVE {LINKS}, a AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM links),
+e AS MATERIALIZED (SELECT doc_id, ordinal AS src, CAST((ordinal * 31 + length(uri)) % n AS INT) AS dst, 0 AS k FROM a UNION ALL SELECT doc_id, ordinal, CAST((ordinal + 1) % n AS INT), length(uri) FROM a),
+r AS (SELECT doc_id, 0 AS node, 0 AS kind FROM links WHERE ordinal = 0
+  UNION SELECT e.doc_id, e.dst, CAST((e.dst + e.k // 5) % 3 AS INT) FROM r JOIN e ON e.doc_id = r.doc_id AND e.src = r.node)
+SELECT doc_id, node, ['dictionary', 'array', 'stream'][kind + 1] AS kind, uri AS value FROM r JOIN links USING (doc_id) WHERE ordinal = node""",
+    "pdfa_identification": f"""WITH k AS (SELECT page_id, page_id % 6 AS kind, '<rdf:Description rdf:about="' || regexp_replace(url, '[<>&"]', '', 'g') || '" xmlns:pdfaid="{PDFA}">' AS about FROM pages)
+SELECT page_id AS doc_id, CASE WHEN kind = 2 THEN '<other/>' WHEN kind IN (3, 5) THEN '{static_packet()}' ELSE '{PACKET_BEGIN}{XMP_OPEN}' || about ||
+  CASE kind WHEN 1 THEN '<pdfaid:part xmlns:pdfaid="{PDFA}">1</pdfaid:part>' ELSE '<pdfaid:part>2</pdfaid:part>' END || '<pdfaid:conformance>B</pdfaid:conformance></rdf:Description>{XMP_CLOSE}{PACKET_END}' END AS xmp FROM k""",
     "settings_map": """SELECT key, value, TRY_CAST(CASE WHEN regexp_full_match(value, '[-+]?[0-9]+') THEN value END AS INT) AS as_int, TRY_CAST(value AS DOUBLE) AS as_double, lower(value) = 'true' AS as_boolean
 FROM (VALUES ('rendering.dpi', '300'), ('segmenter.percentile', '0.95'), ('jbig2enc.flags', '-p // -s'), ('pdf.pdfa.enabled', 'true')) AS t(key, value)""",
     "page_zip": """WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_no, CAST(l_quantity AS BIGINT) AS background, l_returnflag, l_linestatus FROM lineitem),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +64,27 @@ def segment_pages(images: DataFrame, config: PageConfig | None = None) -> DataFr
 
 
 def write_layers(layers: DataFrame, path: str) -> None:
-    """Commit layer rows under ``path``: all of them or none, by the writer's commit protocol."""
-    layers.write.mode("overwrite").parquet(path)
+    """Commit layer rows under ``path``: all of them or none.
+
+    They are written beside it and renamed when complete; only then does an earlier output go.
+    """
+    spark = layers.sparkSession
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    beside, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    fs = name(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        layers.write.parquet(beside)
+        replaced = fs.exists(name(path))
+        if replaced:
+            fs.rename(name(path), name(old))
+        if not fs.rename(name(beside), name(path)):
+            if replaced:
+                fs.rename(name(old), name(path))
+            raise OSError(f"{beside} could not be renamed to {path}")
+        if replaced:
+            fs.delete(name(old), True)
+    finally:
+        fs.delete(name(beside), True)
 
 
 def append_report(spark: SparkSession, rows: DataFrame, path: str) -> None:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -120,8 +122,24 @@ def test_large_components_are_dropped(spark):
     assert (kernels.drop_large(mask, 0, 0) == mask).all()
 
 
+def weights(sigma):
+    """Weights by plain arithmetic: a single exponent, a double power rounded once, a single sum."""
+    f = np.float32
+    r = math.ceil(f(2) * f(sigma))
+    raw = [f(math.exp(float(f(-(i * i)) / (f(2) * f(sigma) * f(sigma))))) for i in range(-r, r + 1)]
+    total = f(0)
+    for v in raw:
+        total = f(total + v)
+    return [f(v / total) for v in raw]
+
+
+@pytest.mark.parametrize("sigma", [0.3, 0.8, 1.7, 2.4242])
+def test_gaussian_weights(sigma):
+    assert kernels.gaussian_weights(sigma).tolist() == [float(w) for w in weights(sigma)]
+
+
 def test_gaussian_blur_against_loops():
-    p, k = rng.integers(0, 256, (6, 9)), kernels.gaussian_weights(0.8)
+    p, k = rng.integers(0, 256, (6, 9)), weights(0.8)
     r = len(k) // 2
     f = np.float32
     mid, out = np.zeros_like(p), np.zeros_like(p)

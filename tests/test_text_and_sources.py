@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafstrata.operators import metadata, text
+from leafstrata.sources import files
 from leafstrata.sources.settings import PageConfig, get, parse_jsonc
 from leafstrata.streaming.ingest import ingest
 
@@ -75,6 +76,54 @@ def test_cyclic_graph_is_visited_once(spark):
     assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (1, 3), (9, 9)]
 
 
+def test_a_copy_of_another_kind_is_made_anew(spark):
+    nodes = spark.createDataFrame([(1, n, "array", f"v{n}") for n in range(4)], "doc_id long, node int, kind string, value string")
+    edges = spark.createDataFrame([(1, 0, 1, "array"), (1, 1, 0, "dictionary"), (1, 1, 2, "array"), (1, 2, 1, "stream"), (2, 0, 3, "array")], "doc_id long, src int, dst int, dst_kind string")
+    got = metadata.copy_graph(nodes, edges, nodes.where("node = 0").select("doc_id", "node", "kind")).collect()
+    assert sorted((r.node, r.kind, r.value) for r in got) == [(0, "array", "v0"), (0, "dictionary", "v0"), (1, "array", "v1"), (1, "stream", "v1"), (2, "array", "v2")]
+
+
+def test_xmp_merge():
+    wrap = lambda x: metadata.PACKET_BEGIN + x + metadata.PACKET_END
+    own = f'xmlns:pdfaid="{metadata.PDFA}"'
+    both = "<pdfaid:part>2</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance>"
+    for body in ("/>", "></rdf:Description>"):
+        got = metadata.identified(f'{metadata.XMP_OPEN}<rdf:Description rdf:about="x"{body}{metadata.XMP_CLOSE}')
+        assert got == wrap(f'{metadata.XMP_OPEN}<rdf:Description rdf:about="x" {own}>{both}</rdf:Description>{metadata.XMP_CLOSE}')
+    kept = metadata.identified(f'<?xpacket?>{metadata.XMP_OPEN}<rdf:Description {own}><pdfaid:part>3</pdfaid:part></rdf:Description><rdf:Description/>{metadata.XMP_CLOSE}tail')
+    assert kept.count("<pdfaid:part>") == 1 and "<pdfaid:part>3</pdfaid:part><pdfaid:conformance>B" in kept
+    assert metadata.identified(None) == metadata.identified("<x:xmpmeta><rdf:RDF></x:xmpmeta>") == metadata.static_packet()
+    assert metadata.identified("<other/>") == "<other/>" and metadata.identified("") == ""
+    assert metadata.identified(f"{metadata.XMP_OPEN}{metadata.XMP_CLOSE}") == wrap(metadata.XMP_OPEN.replace("#\">", "#\"/></x:xmpmeta>"))
+
+
+def test_cjk_is_found_in_each_range(spark):
+    rows = [(1, "ab漢"), (2, "カナ"), (3, "한글"), (4, "latin"), (5, "ひら"), (6, "㐀"), (7, None)]
+    got = {r.doc_id: r.cjk for r in text.has_cjk(spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()}
+    assert got == {i: i not in (4, 7) for i, _ in rows}
+
+
+def test_characters_beyond_the_font(spark):
+    rows = spark.createDataFrame([("AB\U0001f600CD",), ("漢x",)], "word string")
+    assert [(r.safe_word, r.skipped) for r in text.encodable_text(rows).collect()] == [("ABCD", 2), ("x", 1)]
+
+
+def test_layers_are_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "layers")
+    files.write_layers(spark.range(3), path)
+    with pytest.raises(Exception, match="no more"):
+        files.write_layers(spark.range(9).selectExpr("IF(id = 8, raise_error('no more'), id) AS id"), path)
+    assert spark.read.parquet(path).count() == 3
+    files.write_layers(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["layers"]
+
+
+def test_outline_paths_of_many_siblings(spark):
+    items = spark.createDataFrame([(1, 0, None, 0, "top")] + [(1, i, 0, i, "x") for i in (3, 9_999, 10_000, 100_000)], "doc_id long, item_id int, parent_id int, ordinal int, title string")
+    tree = metadata.outline_tree(items).orderBy("path").collect()
+    assert [r.item_id for r in tree] == [0, 3, 9_999, 10_000, 100_000]
+
+
 @pytest.mark.parametrize(("before", "want"), [(None, "P"), ("", "P"), ("  ", "P"), ("X", "X -> P")])
 def test_producer_chain(spark, before, want):
     assert spark.createDataFrame([(before,)], "p string").select(metadata.producer_chain(F.col("p"), F.lit("P"))).first()[0] == want
