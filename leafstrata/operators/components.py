@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstrata.operators import kernels
+from leafstrata.operators import group4, kernels
 
 
 def _planes(pdf: pd.DataFrame, *names: str) -> list[np.ndarray]:
@@ -66,8 +66,8 @@ def component_filter(mask: DataFrame, max_area: float, max_dim: float) -> DataFr
     return lab.join(drop, ["page_no", "root"], "left_anti").select("page_no", "y", "x")
 
 
-def symbol_dictionary(mask: DataFrame) -> DataFrame:
-    """Distinct component bitmaps with their numbers of references and pages.
+def symbols(mask: DataFrame) -> DataFrame:
+    """page_no, root, symbol, area, y, x of each component: its bitmap and where the bitmap's corner lies.
 
     A symbol is named by its pixels relative to the bounding box, in reading order.
     """
@@ -75,8 +75,13 @@ def symbol_dictionary(mask: DataFrame) -> DataFrame:
     box = component_stats(lab).select("page_no", "root", "min_x", "min_y")
     at = lab.join(box, ["page_no", "root"]).select("page_no", "root", F.struct((F.col("y") - F.col("min_y")).alias("y"), (F.col("x") - F.col("min_x")).alias("x")).alias("p"))
     shape = F.expr("array_join(transform(array_sort(collect_list(p)), p -> concat(p.y, ':', p.x)), ' ')")
-    symbols = at.groupBy("page_no", "root").agg(shape.alias("symbol"), F.count("*").alias("area"))
-    return symbols.groupBy("symbol").agg(F.count("*").alias("uses"), F.countDistinct("page_no").alias("pages"), F.max("area").alias("area"))
+    shapes = at.groupBy("page_no", "root").agg(shape.alias("symbol"), F.count("*").alias("area"))
+    return shapes.join(box, ["page_no", "root"]).select("page_no", "root", "symbol", "area", F.col("min_y").alias("y"), F.col("min_x").alias("x"))
+
+
+def symbol_dictionary(mask: DataFrame) -> DataFrame:
+    """Distinct component bitmaps with their numbers of references and pages."""
+    return symbols(mask).groupBy("symbol").agg(F.count("*").alias("uses"), F.countDistinct("page_no").alias("pages"), F.max("area").alias("area"))
 
 
 def inpaint_fill(mask: DataFrame, radius: int = 0) -> DataFrame:
@@ -102,6 +107,52 @@ def gaussian_blur(px: DataFrame, sigma: float) -> DataFrame:
     return px.select("page_no", "y", "x", "gray").groupBy("page_no").applyInPandas(blur, "page_no long, y int, x int, blurred int")
 
 
+def coded_masks(mask: DataFrame) -> DataFrame:
+    """page_no, height, width, data: each page's foreground as a Group 4 stream."""
+
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        plane = _planes(pdf, "fg")[0]
+        return pd.DataFrame({"page_no": [pdf.page_no.iloc[0]], "height": [plane.shape[0]], "width": [plane.shape[1]], "data": [group4.encode(plane)]})
+
+    return mask.select("page_no", "y", "x", "fg").groupBy("page_no").applyInPandas(code, "page_no long, height int, width int, data binary")
+
+
+def decoded_masks(coded: DataFrame) -> DataFrame:
+    """page_no, height, width, bits (rows padded to bytes) of coded_masks()."""
+
+    def run(batches):
+        for pdf in batches:
+            bits = [np.packbits(group4.decode(d, h, w), axis=1).tobytes() for d, h, w in zip(pdf.data, pdf.height, pdf.width, strict=True)]
+            yield pdf.assign(bits=bits)[["page_no", "height", "width", "bits"]]
+
+    return coded.mapInPandas(run, "page_no long, height int, width int, bits binary")
+
+
+def planes(mask: DataFrame, scale: float, sigma: float, colour_scale: float) -> DataFrame:
+    """page_no, height, width, ink, background, colour: the planes of each page as bytes, before a codec sees them.
+
+    ``mask`` has gray and fg. With foreground the background is downscaled, then blurred
+    with sigma / scale, and the colour plane is downscaled by its own scale; a page without
+    foreground keeps its background whole and has no colour plane.
+    """
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        gray, fg = _planes(pdf, "gray", "fg")
+        ink = int((fg == 1).sum())
+        back, colour = gray, None
+        if ink:
+            back = kernels.gaussian_blur(kernels.downscale(gray, scale) if scale < 1 else gray, sigma / scale)
+            colour = kernels.downscale(gray, colour_scale) if colour_scale < 1 else gray
+        size = [gray.shape[0], gray.shape[1], back.shape[0], back.shape[1], *(colour.shape if ink else (0, 0))]
+        data = [x.astype(np.uint8).tobytes() if x is not None else None for x in (back, colour)]
+        return pd.DataFrame([[pdf.page_no.iloc[0], *size, ink, *data]], columns=names)
+
+    names = ["page_no", "height", "width", "back_h", "back_w", "colour_h", "colour_w", "ink", "background", "colour"]
+    return mask.select("page_no", "y", "x", "gray", "fg").groupBy("page_no").applyInPandas(
+        made, "page_no long, height int, width int, back_h int, back_w int, colour_h int, colour_w int, ink long, background binary, colour binary"
+    )
+
+
 def background_layer(px: DataFrame, scale: float, sigma: float) -> DataFrame:
     """page_no, y, x, level: the page downscaled and then blurred with sigma / scale, as before encoding."""
 

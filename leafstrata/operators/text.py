@@ -106,6 +106,28 @@ def has_cjk(text: DataFrame, column: str) -> DataFrame:
     return text.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col(column), F.lit("")).rlike(CJK)).alias("cjk"))
 
 
+def first_font(candidates: DataFrame, builtin: str = "Helvetica") -> DataFrame:
+    """doc_id, path, font: of each document's candidates (doc_id, rank, path, readable, fonts) the first that is readable.
+
+    A collection gives its first font. Where none is readable, or the chosen file holds no
+    font, the built-in one serves and the path is null.
+    """
+    best = F.min(F.when(F.col("readable"), F.struct("rank", "path", F.try_element_at("fonts", F.lit(1)).alias("font")))).alias("b")
+    got = candidates.groupBy("doc_id").agg(best)
+    known = F.col("b.font").isNotNull()
+    return got.select("doc_id", F.when(known, F.col("b.path")).alias("path"), F.when(known, F.col("b.font")).otherwise(F.lit(builtin)).alias("font"))
+
+
+def common_pages(left: DataFrame, right: DataFrame) -> DataFrame:
+    """doc_id, pages: how many pages both layouts (doc_id, page_no from 0) have, the smaller of the two counts."""
+    n = lambda df, c: df.groupBy("doc_id").agg((F.max("page_no") + 1).alias(c))
+    return n(left, "a").join(n(right, "b"), "doc_id").select("doc_id", F.least("a", "b").cast("long").alias("pages"))
+
+
+#: Characters of which the placement rule knows advances, as a class; others make a word's width a guess.
+MEASURED = "[ -~]"
+#: The guess: this share of the size a character.
+GUESSED_ADVANCE = 0.5
 #: Advances of the placement rule in thousandths of the size, by character class (a simple stand-in for font metrics).
 ADVANCES = (("[0-9]", 556), ("[A-Z]", 667), ("[a-z]", 500))
 OTHER_ADVANCE = 333
@@ -131,11 +153,13 @@ def text_placement(words: DataFrame, scale_x: float, scale_y: float, page_h: flo
     """Where and how large a word is drawn: place_x, place_y, size and stretch, in points.
 
     size = max(box height * scale, min_font); stretch = target width / natural width, 1
-    where there is none; the drawn size is their product.
+    where there is none; the drawn size is their product. A word with a character of unknown
+    advance takes half its size a character.
     """
     t = encodable_text(words).withColumn("ratio", baseline_ratio().cast("double"))
     t = t.withColumn("size", F.greatest(F.col("bbox.h") * F.lit(scale_y), F.lit(min_font)))
-    t = t.withColumn("natural", F.expr(natural_advance("safe_word")) / F.lit(1000.0) * F.col("size"))
+    known = F.when(~F.col("safe_word").rlike(f"[^{MEASURED[1:]}"), F.expr(natural_advance("safe_word")) / F.lit(1000.0) * F.col("size"))
+    t = t.withColumn("natural", F.coalesce(known, F.length("safe_word") * F.col("size") * F.lit(GUESSED_ADVANCE)))
     stretch = F.when(F.col("natural") > 0, F.col("bbox.w") * F.lit(scale_x) / F.col("natural")).otherwise(F.lit(1.0))
     return t.select(
         *PAGE, "line_no", "word_no", "safe_word",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,6 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def run_folder(spark: SparkSession, name: str):
+    """A folder of this run's own in the shared folder, gone with all that it holds when the block ends, however it ends."""
+    path = f"{shared_dir(spark)}/{name}-{time.time_ns()}-{uuid.uuid4().hex}"
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(of)
+    try:
+        yield path
+    finally:
+        fs.delete(of, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

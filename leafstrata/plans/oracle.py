@@ -53,6 +53,10 @@ lab AS MATERIALIZED (SELECT fg.page_no, fg.y, fg.x, cc.root FROM fg JOIN cc USIN
 TO_LAB = f"{TO_MASK},\n{COMPONENTS}"
 STATS = "stats AS (SELECT page_no, root, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM lab GROUP BY ALL)"
 
+#: Four pixels of a row as a hexadecimal digit, rows padded to whole bytes.
+NIBBLES = """wide AS (SELECT *, max(x) OVER (PARTITION BY page_no) + 1 AS width FROM {0}),
+cells AS (SELECT page_no, y, x, width, fg FROM wide UNION ALL SELECT page_no, y, width + i, width, 0 FROM (SELECT DISTINCT page_no, y, width FROM wide), unnest(range(0, (8 - width % 8) % 8)) AS t(i)),
+nibbles AS (SELECT page_no, y, x // 4 AS n, width, substr('0123456789ABCDEF', CAST(1 + sum(fg << (3 - x % 4)::INT) AS INT), 1) AS h FROM cells GROUP BY page_no, y, x // 4, width)"""
 GLYPHS = f"glyph AS MATERIALIZED ({GLYPH_SQL})"
 #: By construction glyph lines are the lines of the text that show anything, and words their tokens.
 LINED = "lined AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line) - 1 AS INT) AS line_no FROM glyph)"
@@ -119,6 +123,33 @@ WHERE NOT (area > floor(h * w * {AREA}::DOUBLE) OR greatest(max_x - min_x, max_y
 SELECT symbol, count(*) AS uses, count(DISTINCT page_no) AS pages, max(area) AS area FROM s GROUP BY symbol""",
     "inpaint_distance": f"""WITH {TO_MASK}, bg AS (SELECT * FROM mask WHERE fg = 0)
 SELECT m.page_no, m.y, m.x, m.fg, CAST(coalesce(min(abs(m.y - bg.y) + abs(m.x - bg.x)), 1073741823) AS INT) AS dist FROM mask m LEFT JOIN bg ON bg.page_no = m.page_no GROUP BY ALL""",
+    "page_layers": f"""WITH RECURSIVE {TO_LAB}, {STATS}, s AS (SELECT lab.page_no, lab.root, min_y, min_x, string_agg((lab.y - min_y) || ':' || (lab.x - min_x), ' ' ORDER BY lab.y, lab.x) AS symbol
+  FROM lab JOIN stats USING (page_no, root) GROUP BY ALL),
+g AS (SELECT page_no // 4 AS doc_id, md5(string_agg(DISTINCT symbol, '|' ORDER BY symbol)) AS globals FROM s GROUP BY ALL),
+r AS (SELECT page_no, string_agg(md5(symbol) || '@' || min_y || ',' || min_x, ' ' ORDER BY root) AS refs FROM s GROUP BY page_no),
+p AS (SELECT page_no, page_no // 4 AS doc_id, max(y) + 1 AS height, max(x) + 1 AS width, sum(fg) AS ink, md5(string_agg(printf('%02X', gray), '' ORDER BY y, x)) AS data_md5 FROM mask GROUP BY page_no)
+SELECT doc_id, page_no, 0 AS z, 'background' AS kind, 'raw' AS codec, height, width, NULL AS globals, data_md5 FROM p
+UNION ALL SELECT doc_id, page_no, 1, 'colour', 'raw', height, width, NULL, data_md5 FROM p WHERE ink > 0 AND doc_id % 2 = 1
+UNION ALL SELECT doc_id, page_no, CASE doc_id % 2 WHEN 1 THEN 2 ELSE 1 END, CASE doc_id % 2 WHEN 1 THEN 'smask' ELSE 'stencil' END, 'symbols', height, width, globals, md5(upper(hex(refs))) FROM p JOIN r USING (page_no) JOIN g USING (doc_id)""",
+    "mask_g4": f"""WITH {TO_MASK}, {NIBBLES.format("mask")}
+SELECT page_no, max(y) + 1 AS height, any_value(width) AS width, md5(string_agg(h, '' ORDER BY y, n)) AS bits_md5 FROM nibbles GROUP BY page_no""",
+    "dense_pages": f"""WITH RECURSIVE {TO_LAB}, {STATS}, dims AS (SELECT page_no, max(y) + 1 AS h, max(x) + 1 AS w FROM mask GROUP BY page_no),
+kept AS (SELECT lab.page_no, lab.y, lab.x FROM lab JOIN stats USING (page_no, root) JOIN dims USING (page_no)
+  WHERE NOT (area > floor(h * w * {AREA}::DOUBLE) OR greatest(max_x - min_x, max_y - min_y) + 1 > floor(greatest(h, w) * {DIM}::DOUBLE))),
+clean AS (SELECT m.page_no, m.y, m.x, CAST(k.x IS NOT NULL AS INT) AS fg FROM mask m LEFT JOIN kept k ON k.page_no = m.page_no AND k.y = m.y AND k.x = m.x), {NIBBLES.format("clean")},
+i AS (SELECT page_no, CAST(sum(fg) AS BIGINT) AS ink FROM clean GROUP BY page_no)
+SELECT page_no, CAST(max(y) + 1 AS INT) AS height, CAST(any_value(width) AS INT) AS width, any_value(ink) AS ink, md5(string_agg(h, '' ORDER BY y, n)) AS mask_md5 FROM nibbles JOIN i USING (page_no) GROUP BY page_no""",
+    "font_choice": """WITH c AS (SELECT s_nationkey AS doc_id, s_name AS path, CASE WHEN s_suppkey % 5 = 0 THEN s_name || '-1' WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS font,
+  row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal > 0 THEN 0 ELSE 1 END, s_suppkey) AS n, s_acctbal > 0 AS readable FROM supplier)
+SELECT doc_id, CASE WHEN readable AND font IS NOT NULL THEN path END AS path, CASE WHEN readable AND font IS NOT NULL THEN font ELSE 'Helvetica' END AS font FROM c WHERE n = 1""",
+    "diff_pages": f"""WITH n AS (SELECT doc_id, (len(string_split(coalesce(text, ''), chr(10))) - 1) // {LINES_A_PAGE} AS last FROM documents)
+SELECT doc_id, CAST(CASE WHEN last % 3 = 2 THEN last ELSE last + 1 END AS BIGINT) AS pages FROM n""",
+    "run_report": f"""WITH {LINKS}, a AS (SELECT doc_id, count(*) AS n FROM links GROUP BY doc_id),
+f AS (SELECT *, regexp_extract_all(html, '<style>(.*?)</style>', 1) || regexp_extract_all(html, '<script>(.*?)</script>', 1) AS c FROM pages),
+o AS (SELECT *, CAST(greatest(1, ceil(len(regexp_extract_all(html, '<p>')) / 5)) AS INT) AS n_pages, CAST(strlen(html) AS BIGINT) AS bytes_in,
+  CAST(coalesce(list_sum(list_transform(c, lambda x: strlen(x))), 0) AS BIGINT) AS bytes_out FROM f)
+SELECT page_id AS doc_id, n_pages, CAST(len(regexp_extract_all(html, '[a-z]+')) AS BIGINT) AS words, bytes_in, bytes_out, CAST(floor(bytes_out * 1000 / bytes_in + 0.5) AS BIGINT) AS permille,
+  CAST(n_pages * 4 AS BIGINT) AS seconds, CAST(regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> '' AS BIGINT) AS outlines, coalesce(n, 0) AS annotations, CAST(len(c) AS BIGINT) AS embedded_files FROM o LEFT JOIN a ON a.doc_id = page_id""",
     "mask_runs": f"""WITH {TO_MASK}, g AS (SELECT *, x - row_number() OVER (PARTITION BY page_no, y ORDER BY x) AS g FROM mask WHERE fg = 1)
 SELECT page_no, y, min(x) AS x0, max(x) AS x1 FROM g GROUP BY page_no, y, g""",
     "glyph_table": f"""WITH {GLYPHS} SELECT doc_id, page_no, count(*) AS n, CAST(sum(CAST(x AS BIGINT)) AS BIGINT) AS sx, CAST(sum(CAST(y AS BIGINT)) AS BIGINT) AS sy,
@@ -138,8 +169,8 @@ CAST(sum(CASE WHEN unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 161 AND
     "baseline_ratio": f"WITH {TO_BOXES}, {RATIO} SELECT doc_id, page_no, line_no, word_no, CAST(floor(CAST(ratio AS DOUBLE) * 10000 + 0.5::DOUBLE) AS INT) AS ratio FROM ratio",
     "text_placement": f"""WITH {TO_BOXES}, {RATIO},
 n AS (SELECT *, greatest(ph * 0.48::DOUBLE, 1.0::DOUBLE) AS size, regexp_replace(word, '[^ -~¡-ÿ]', '', 'g') AS safe FROM ratio),
-k AS (SELECT *, len(regexp_extract_all(safe, '[0-9]')) AS d, len(regexp_extract_all(safe, '[A-Z]')) AS u, len(regexp_extract_all(safe, '[a-z]')) AS l FROM n),
-m AS (SELECT *, (d * 556 + u * 667 + l * 500 + (length(safe) - d - u - l) * 333) / 1000.0::DOUBLE * size AS nat FROM k)
+k AS (SELECT *, regexp_matches(safe, '[^ -~]') AS guessed, len(regexp_extract_all(safe, '[0-9]')) AS d, len(regexp_extract_all(safe, '[A-Z]')) AS u, len(regexp_extract_all(safe, '[a-z]')) AS l FROM n),
+m AS (SELECT *, CASE WHEN guessed THEN length(safe) * size * 0.5::DOUBLE ELSE (d * 556 + u * 667 + l * 500 + (length(safe) - d - u - l) * 333) / 1000.0::DOUBLE * size END AS nat FROM k)
 SELECT doc_id, page_no, line_no, word_no, CAST(floor(px * 0.48::DOUBLE * 1000 + 0.5::DOUBLE) AS BIGINT) AS place_x,
 CAST(floor((792.0::DOUBLE - (py + ph * CAST(ratio AS DOUBLE)) * 0.48::DOUBLE) * 1000 + 0.5::DOUBLE) AS BIGINT) AS place_y, CAST(floor(size * 1000 + 0.5::DOUBLE) AS BIGINT) AS size,
 CAST(floor(CASE WHEN nat > 0 THEN pw * 0.48::DOUBLE / nat ELSE 1.0::DOUBLE END * 1000 + 0.5::DOUBLE) AS BIGINT) AS stretch FROM m""",

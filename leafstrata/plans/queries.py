@@ -10,7 +10,8 @@ from leafstrata.operators import components as comp
 from leafstrata.operators import layers, metadata, raster, text
 from leafstrata.plans.lineage import shared_dir
 from leafstrata.sources import settings
-from leafstrata.sources.derive import LINES_A_PAGE, PITCH, glyphs, gray_pixels, rgb_pixels, table
+from leafstrata.sources.derive import LINES_A_PAGE, PITCH, glyphs, gray_pixels, page_images, rgb_pixels, table
+from leafstrata.sources.files import segment_pages
 from leafstrata.streaming.ingest import gaps, ingest
 
 #: Parameters of the page queries: 64 x 64 pages with a partial edge tile.
@@ -112,6 +113,48 @@ def background_layer(spark, sf_dir):
     return comp.background_layer(gray_pixels(spark, sf_dir), 0.33, 0.8)
 
 
+def page_layers(spark, sf_dir):
+    """Documents of four pages: odd ones with a soft mask over a colour plane, even ones with a stencil."""
+    doc = F.expr("page_no div 4").alias("doc_id")
+    mask = _mask(spark, sf_dir)
+    planes = comp.planes(mask, 1.0, 0.0, 1.0).select("*", doc)
+    _, masks = layers.symbol_layers(comp.symbols(mask).select("*", doc))
+    made = layers.assemble(planes, masks, F.col("doc_id") % 2 == 1)
+    return made.select("doc_id", "page_no", "z", "kind", "codec", "height", "width", "globals", F.md5(F.hex("data").cast("binary")).alias("data_md5"))
+
+
+def mask_g4(spark, sf_dir):
+    """Masks after Group 4 coding and decoding."""
+    return comp.decoded_masks(comp.coded_masks(_mask(spark, sf_dir))).select("page_no", "height", "width", F.md5(F.hex("bits").cast("binary")).alias("bits_md5"))
+
+
+def dense_pages(spark, sf_dir):
+    """Whole page images through the dense kernels: foreground and mask of each page."""
+    config = settings.PageConfig(tile_size=TILE, percentile=SHARE, sauvola_window=WINDOW, sauvola_k=K, sauvola_r=R, max_component_area=AREA, max_component_dim=DIM)
+    done = segment_pages(page_images(spark, sf_dir), config)
+    return done.select(F.col("origin").cast("long").alias("page_no"), "height", "width", "ink", F.md5(F.hex("mask").cast("binary")).alias("mask_md5"))
+
+
+def font_choice(spark, sf_dir):
+    """Suppliers stand for font files, nations for documents; every fifth file is a collection of two."""
+    s = table(spark, sf_dir, "supplier")
+    fonts = F.expr("CASE WHEN s_suppkey % 5 = 0 THEN array(concat(s_name, '-1'), concat(s_name, '-2')) WHEN s_suppkey % 7 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE array(s_name) END")
+    return text.first_font(s.select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("rank"), F.col("s_name").alias("path"), (F.col("s_acctbal") > 0).alias("readable"), fonts.alias("fonts")))
+
+
+def diff_pages(spark, sf_dir):
+    a = _page_texts(spark, sf_dir).select("doc_id", "page_no")
+    return text.common_pages(a, a.where("page_no = 0 OR page_no % 3 <> 2"))
+
+
+def run_report(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    sized = metadata.page_counts(pages).join(pages.select(F.col("page_id").alias("doc_id"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes")), "doc_id")
+    words = pages.select(F.col("page_id").alias("doc_id"), F.expr("size(regexp_extract_all(html, '[a-z]+', 0))").cast("long").alias("words"))
+    out = metadata.attachments(pages).select("doc_id", F.length("content").alias("bytes"))
+    return layers.run_report(sized, words, out, metadata.preserve_counts(pages), (F.col("n_pages") * 4).cast("long"))
+
+
 def mask_runs(spark, sf_dir):
     return raster.mask_runs(_mask(spark, sf_dir))
 

@@ -22,6 +22,14 @@ def gray_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).repartition("page_no")
 
 
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of gray_pixels() as whole images, in the columns of files.read_page_images(); origin is the page's number."""
+    rows = gray_pixels(spark, sf_dir).groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("y", "x", "gray"))).alias("p"))
+    data = "unhex(array_join(transform(p, c -> repeat(lpad(hex(c.gray), 2, '0'), 3)), ''))"
+    last = "element_at(p, -1)"
+    return rows.selectExpr("CAST(page_no AS STRING) AS origin", f"{last}.y + 1 AS height", f"{last}.x + 1 AS width", "3 AS n_channels", f"{data} AS data")
+
+
 GRAY_SQL = f"""SELECT vec_id // {PAGE_SIDE} AS page_no, CAST(vec_id % {PAGE_SIDE} AS INT) AS y, CAST(i - 1 AS INT) AS x,
   CAST(greatest(0, least(255, floor(128 + 256 * CAST(embedding[i] AS DOUBLE)))) AS INT) AS gray
 FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)"""
