@@ -41,47 +41,57 @@ def cluster_lines(y: np.ndarray, height: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_clusters(glyphs: DataFrame) -> DataFrame:
-    """``glyphs`` with line_no, per page from 0 downwards: cluster_lines() as a fold inside the JVM.
+def page_lines(glyphs: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no, g: the lines of each page, from 0 downwards, as arrays of their glyphs in reading order.
 
-    A page's glyphs are one array, sorted by (y, seq); the fold keeps running means in
-    float32 and the places where lines start, which are few.
+    cluster_lines() as a fold inside the JVM: a page's glyphs are one array, sorted by
+    (y, seq); the fold keeps running means in float32 and the places where lines start.
     """
-    rest = [c for c in glyphs.columns if c not in (*PAGE, "y", "seq")]
-    pages = glyphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "seq", *rest))).alias("g"))
-    pages = pages.withColumn("median", F.expr("element_at(array_sort(transform(g, c -> c.height)), CAST(size(g) div 2 + 1 AS INT))"))
-    opens = "acc.n = 0 OR abs(c.y - acc.y) > CAST(0.5 AS FLOAT) * greatest(median, acc.h)"
+    g = F.struct("y", "seq", "x", "text", "width", "height")
+    pages = glyphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(g)).alias("g"))
+    # the median rides in the fold's state: Spark would inline a column of it into the lambda, and sort once a glyph
+    opens = "acc.n = 0 OR abs(c.y - acc.y) > CAST(0.5 AS FLOAT) * greatest(acc.m, acc.h)"
     mean = "CAST((acc.{0} * CAST(acc.n AS FLOAT) + c.{1}) / CAST(acc.n + 1 AS FLOAT) AS FLOAT)"
-    fold = f"""aggregate(g, named_struct('starts', CAST(array() AS ARRAY<INT>), 'i', 0, 'y', CAST(0 AS FLOAT), 'h', CAST(0 AS FLOAT), 'n', 0),
-      (acc, c) -> named_struct('starts', IF({opens}, array_append(acc.starts, acc.i), acc.starts), 'i', acc.i + 1,
-        'y', IF({opens}, c.y, {mean.format("y", "y")}), 'h', IF({opens}, c.height, {mean.format("h", "height")}), 'n', IF({opens}, 1, acc.n + 1)),
+    start = "named_struct('starts', CAST(array() AS ARRAY<INT>), 'i', 1, 'y', CAST(0 AS FLOAT), 'h', CAST(0 AS FLOAT), 'n', 0, 'm', element_at(array_sort(g.height), CAST(size(g) div 2 + 1 AS INT)))"
+    fold = f"""aggregate(g, {start},
+      (acc, c) -> IF({opens}, named_struct('starts', array_append(acc.starts, acc.i), 'i', acc.i + 1, 'y', c.y, 'h', c.height, 'n', 1, 'm', acc.m),
+        named_struct('starts', acc.starts, 'i', acc.i + 1, 'y', {mean.format("y", "y")}, 'h', {mean.format("h", "height")}, 'n', acc.n + 1, 'm', acc.m)),
       acc -> acc.starts)"""
-    at = pages.withColumn("starts", F.expr(fold)).select(*PAGE, "starts", F.posexplode("g").alias("i", "c"))
-    line = F.expr("CAST(size(filter(starts, s -> s <= i)) - 1 AS INT)").alias("line_no")
-    return at.select(*[F.col(c) if c in PAGE else F.col(f"c.{c}").alias(c) for c in glyphs.columns], line)
+    order = "array_sort(transform({0}, c -> named_struct('x', c.x, 'y', c.y, 'seq', c.seq, 'text', c.text, 'width', c.width, 'height', c.height)))"
+    cut = f"transform(starts, (s, k) -> {order.format('slice(g, s, IF(k + 1 = size(starts), size(g) + 1, starts[k + 1]) - s)')})"
+    return pages.select(*PAGE, "g", F.expr(fold).alias("starts")).select(*PAGE, F.posexplode(F.expr(cut)).alias("line_no", "g"))
+
+
+def line_clusters(glyphs: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no and the glyph of each glyph."""
+    return page_lines(glyphs).select(*PAGE, "line_no", F.inline("g"))
+
+
+def word_split(lines: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no, word_no, g: the words of page_lines(), from 0 in each line. A gap over max(0.3 * previous height, 2) opens a word."""
+    gap = "g[i].x - (g[i - 1].x + g[i - 1].width)"
+    limit = "greatest(g[i - 1].height * CAST(0.3 AS FLOAT), CAST(2.0 AS FLOAT))"
+    starts = F.expr(f"filter(sequence(0, size(g) - 1), i -> i = 0 OR {gap} > {limit})")
+    cut = "transform(starts, (s, k) -> slice(g, s + 1, IF(k + 1 = size(starts), size(g), starts[k + 1]) - s))"
+    return lines.withColumn("starts", starts).select(*PAGE, "line_no", F.posexplode(F.expr(cut)).alias("word_no", "g"))
 
 
-def word_split(lined: DataFrame) -> DataFrame:
-    """``lined`` with word_no, from 0 in each line: a gap over max(0.3 * previous height, 2) opens a word."""
-    order = Window.partitionBy(*PAGE, "line_no").orderBy("x", "y", "seq")
-    gap = F.col("x") - (F.lag("x").over(order) + F.lag("width").over(order))
-    limit = F.greatest(F.lag("height").over(order) * F.lit(0.3).cast("float"), F.lit(2.0).cast("float"))
-    opens = lined.withColumn("opens", F.coalesce((gap > limit).cast("int"), F.lit(0)))
-    return opens.withColumn("word_no", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("opens")
+def word_text(g: str = "g"):
+    """The characters of a word's glyphs."""
+    return F.array_join(F.col(f"{g}.text"), "")
 
 
-def word_boxes(worded: DataFrame, dpi: float) -> DataFrame:
+def word_boxes(words: DataFrame, dpi: float) -> DataFrame:
     """One row a word: text, pixel box (at least 1 x 1), confidence 100 and glyph positions in pixels, all in float32."""
     scale = F.lit(dpi / 72).cast("float")
     px = lambda c: F.floor(c.cast("float").cast("double") + 0.5).cast("int")
-    g = F.struct("x", "y", "seq", "text", "width", "height")
-    folded = worded.groupBy(*PAGE, "line_no", "word_no").agg(
-        F.array_sort(F.collect_list(g)).alias("g"),
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"),
+    ends = words.select(
+        *PAGE, "line_no", "word_no", "g",
+        F.array_min("g.x").alias("x0"), F.array_min("g.y").alias("y0"),
+        F.array_max(F.transform("g", lambda c: c["x"] + c["width"])).alias("x1"), F.array_max(F.transform("g", lambda c: c["y"] + c["height"])).alias("y1"),
     )
-    return folded.select(
-        *PAGE, "line_no", "word_no",
-        F.array_join(F.transform("g", lambda c: c["text"]), "").alias("word"),
+    return ends.select(
+        *PAGE, "line_no", "word_no", word_text().alias("word"),
         F.struct(
             px(F.col("x0") * scale).alias("x"), px(F.col("y0") * scale).alias("y"),
             F.greatest(F.lit(1), px((F.col("x1") - F.col("x0")) * scale)).alias("w"), F.greatest(F.lit(1), px((F.col("y1") - F.col("y0")) * scale)).alias("h"),

@@ -169,20 +169,21 @@ def page_median_height(spark, sf_dir):
     return text.page_median_height(glyphs(spark, sf_dir)).select("doc_id", "page_no", F.col("height").cast("int").alias("height"))
 
 
-def _lined(spark, sf_dir):
-    return text.line_clusters(glyphs(spark, sf_dir))
+def line_clusters(spark, sf_dir):
+    lines = text.page_lines(glyphs(spark, sf_dir))
+    return lines.select("doc_id", "page_no", "line_no", F.size("g").cast("long").alias("n"), F.array_min("g.seq").alias("first"), F.array_max("g.seq").alias("last"))
 
 
-def line_clusters(spark, sf_dir):
-    return _lined(spark, sf_dir).groupBy("doc_id", "page_no", "line_no").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+def _words(spark, sf_dir):
+    return text.word_split(text.page_lines(glyphs(spark, sf_dir)))
 
 
 def _boxes(spark, sf_dir):
-    return text.word_boxes(text.word_split(_lined(spark, sf_dir)), DPI)
+    return text.word_boxes(_words(spark, sf_dir), DPI)
 
 
 def word_split(spark, sf_dir):
-    return _boxes(spark, sf_dir).select("doc_id", "page_no", "line_no", "word_no", "word")
+    return _words(spark, sf_dir).select("doc_id", "page_no", "line_no", "word_no", text.word_text().alias("word"))
 
 
 def word_boxes(spark, sf_dir):

@@ -12,7 +12,7 @@ GLYPH = "doc_id long, page_no int, seq long, text string, x float, y float, widt
 
 def words(spark, glyphs):
     df = spark.createDataFrame([(1, 0, i, *g) for i, g in enumerate(glyphs)], GLYPH)
-    boxes = text.word_boxes(text.word_split(text.line_clusters(df)), 72.0)
+    boxes = text.word_boxes(text.word_split(text.page_lines(df)), 72.0)
     return [r.word for r in boxes.orderBy("line_no", "word_no").collect()]
 
 
