@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    local mode) a folder below the warehouse is used and set as checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset in local mode
+    (tests) a folder below the warehouse is used and set as checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(own)

@@ -48,16 +48,18 @@ def _rows(docs: DataFrame, digest, keep_all: bool = False) -> DataFrame:
     )
 
 
-def registry(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
+def registry(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
     """Stream the Parquet documents at ``path`` through the keyed state and return it: digest, n, keep.
 
-    keep is a struct of doc_id, file and row of the row that stays.
+    keep is a struct of doc_id, file and row of the row that stays. With a folder ``state``
+    the state stays there: a later call takes only the files that have come to ``path``
+    since, and a driver that starts anew goes on from the last whole batch.
     """
-    checkpoint = scratch(spark, "exact-dedup-state")
+    checkpoint = state or scratch(spark, "exact-dedup-state")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    state = (
+    counted = (
         _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # a glob: the stream takes a folder or a single file
         .groupBy("digest")
         .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
@@ -73,7 +75,7 @@ def registry(spark: SparkSession, path: str, digest=sha256, files_per_batch: int
         spark.conf.set(k, v)
     try:
         query = (
-            state.writeStream.format("noop")
+            counted.writeStream.format("noop")
             .outputMode("update")
             .trigger(availableNow=True)
             .option("checkpointLocation", checkpoint)
@@ -91,7 +93,8 @@ def registry(spark: SparkSession, path: str, digest=sha256, files_per_batch: int
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    drop_path(spark, checkpoint)
+    if not state:
+        drop_path(spark, checkpoint)
     return found
 
 

@@ -3,8 +3,9 @@
 The features are densities of lexicon hits, their closeness to the second person, capitals,
 punctuation and obfuscation rates. The lexicon is learned from the labelled rows: whole
 words, and beginnings of words, that toxic texts hold far more often than others. Its
-counts are made on the executors; only the bounded lexicon and the features of a bounded
-sample reach the driver, where trees are fitted. Out-of-fold margins calibrate the score.
+counts are made on the executors; only the bounded lexicons and the features of a bounded
+sample reach the driver, where trees are fitted. Margins out of fold calibrate the score:
+each fold has a lexicon and trees of its own, which have not seen the fold's labels.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafstrata.llm.boosting import BoostedTrees, Isotonic
-from leafstrata.llm.common import crc_remainder, lean, pick, table, training_rows
+from leafstrata.llm.common import crc_remainder, discard, lean, materialise, pick, table, training_rows
 
 #: Labelled rows that lexicon and trees are fitted on at most, and entries a lexicon holds at most.
 SAMPLE, ENTRIES = 12000, 2000
@@ -60,28 +61,41 @@ def entries(text: str) -> set[str]:
     return {w for w in words if len(w) > 2} | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def learn_lexicon(rows: DataFrame, limit: int = ENTRIES) -> dict[str, float]:
-    """Entries over-represented in label 1 with their log odds; at most ``limit``, best evidence first."""
+def learn_lexicons(rows: DataFrame, folds: int = FOLDS, limit: int = ENTRIES) -> list[dict[str, float]]:
+    """Entries over-represented in label 1 with their log odds; at most ``limit``, best evidence first.
+
+    ``rows`` has text, label and fold. The first lexicon is of all rows, the others leave out
+    a fold each. Entries are counted once, by fold.
+    """
+    names = [f"{c}{k}" for c in "ab" for k in range(folds)]
 
     def count(batches):
-        bad, good = Counter(), Counter()
+        held = [Counter() for _ in names]
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (bad if label else good).update(entries(text))
-        keys = list(bad.keys() | good.keys())
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([good[k] for k in keys], pa.int64())], names=["entry", "a", "b"])
-
-    total = rows.agg(F.sum("label"), F.count("*")).first()
-    n1, n0 = (total[0] or 0), (total[1] - (total[0] or 0))
-    if not n1 or not n0:
-        return {}
-    counted = rows.select("text", "label").mapInArrow(count, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    share = n1 / (n1 + n0)
-    g = F.expr(f"2 * (IF(a > 0, a * ln(a / ((a + b) * {share!r}D)), 0D) + IF(b > 0, b * ln(b / ((a + b) * {1 - share!r}D)), 0D))")
-    odds = F.expr(f"ln((a + 0.5D) / {n1 + 1}D) - ln((b + 0.5D) / {n0 + 1}D)")
-    best = counted.where("a >= 3").select("entry", g.alias("g"), odds.alias("odds")).where(f"g >= {EVIDENCE}D AND odds > 1.5D")
-    got = best.orderBy(F.desc("g"), "entry").limit(limit).collect()
-    return {r["entry"]: float(r["odds"]) for r in got}
+            for text, label, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held[fold + (0 if label else folds)].update(entries(text))
+        keys = list(set().union(*held))
+        yield pa.record_batch([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in held]], names=["entry", *names])
+
+    sizes = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    counted = rows.select("text", "label", "fold").mapInArrow(lean(count), "entry string, " + ", ".join(f"{n} long" for n in names))
+    counted = counted.groupBy("entry").agg(*[F.sum(n).alias(n) for n in names])
+    counted = materialise(counted.where(" + ".join(f"a{k}" for k in range(folds)) + " >= 3"), "lexicon")
+    out = []
+    for without in (None, *range(folds)):
+        used = [k for k in range(folds) if k != without]
+        n1, n0 = (sum(sizes.get((k, label), 0) for k in used) for label in (1, 0))
+        if not n1 or not n0:
+            out.append({})
+            continue
+        share = n1 / (n1 + n0)
+        of = counted.select("entry", *[sum((F.col(f"{c}{k}") for k in used[1:]), F.col(f"{c}{used[0]}")).alias(c) for c in "ab"]).where("a >= 3")
+        g = F.expr(f"2 * (IF(a > 0, a * ln(a / ((a + b) * {share!r}D)), 0D) + IF(b > 0, b * ln(b / ((a + b) * {1 - share!r}D)), 0D))")
+        odds = F.expr(f"ln((a + 0.5D) / {n1 + 1}D) - ln((b + 0.5D) / {n0 + 1}D)")
+        best = of.select("entry", g.alias("g"), odds.alias("odds")).where(f"g >= {EVIDENCE}D AND odds > 1.5D")
+        out.append({r["entry"]: float(r["odds"]) for r in best.orderBy(F.desc("g"), "entry").limit(limit).collect()})
+    discard(counted)
+    return out
 
 
 class Features:
@@ -160,25 +174,29 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Fit on up to ``sample`` labelled rows; with no usable labels every text scores 0.5, with one class near that class."""
-    rows = training_rows(labels, docs, "toxic", *HELD_OUT, sample)
-    lexicon = learn_lexicon(rows)
+    rows = training_rows(labels, docs, "toxic", *HELD_OUT, sample).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
+    rows = materialise(rows.select("text", "label", "fold"), "toxicity-sample")  # bounded by ``sample``
+    lexicons = learn_lexicons(rows)
 
     def run(batches):
-        made = Features(lexicon)
+        each = [Features(x) for x in lexicons]
         for b in batches:
-            yield pa.record_batch([pa.array(list(made.matrix(b.column(0).to_pylist())), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
-
-    got = rows.select("text", "label").mapInArrow(lean(run), "x array<double>, label int").toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES))
-    y = np.array(got.column("label").to_pylist(), float)
-    order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order]
-    fold = np.arange(len(y)) % FOLDS  # sorted by label and features: each fold has its share
+            wide = np.concatenate([made.matrix(b.column(0).to_pylist()) for made in each], axis=1)
+            yield pa.record_batch([pa.array(list(wide), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "label", "fold"])
+
+    got = rows.mapInArrow(lean(run), "x array<double>, label int, fold int").toArrow()
+    discard(rows)
+    x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES) * len(lexicons))
+    y, fold = (np.array(got.column(c).to_pylist(), float) for c in ("label", "fold"))
+    order = np.lexsort((*x.T, fold, y))  # the fit doesn't depend on the order in which rows arrive
+    x, y, fold = x[order], y[order], fold[order]
+    part = lambda k: x[:, len(FEATURES) * k : len(FEATURES) * (k + 1)]  # noqa: E731  the features under lexicon k
     margins = np.zeros(len(y))
     for k in range(FOLDS):
-        if len(y):
-            margins[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return ToxicityModel(lexicon, BoostedTrees().fit(x, y), Isotonic().fit(margins, y))
+        if (fold == k).any():
+            own = part(k + 1)
+            margins[fold == k] = BoostedTrees().fit(own[fold != k], y[fold != k]).margin(own[fold == k])
+    return ToxicityModel(lexicons[0], BoostedTrees().fit(part(0), y), Isotonic().fit(margins, y))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -1,5 +1,6 @@
 """General interfaces and awkward rows."""
 
+import hashlib
 import math
 import random
 
@@ -529,3 +530,22 @@ def test_warc_of_repeated_pages(spark, tmp_path):
     warc.archive_pages(df, path)
     read = warc.reassemble(warc.read_archives(spark, path)).collect()
     assert len({r.record_id for r in read}) == len(rows) and all(r.complete for r in read)
+
+
+def test_exact_dedup_goes_on_from_its_state(spark):
+    path, state = scratch(spark, "docs"), scratch(spark, "state")
+    one = documents(spark, [(1, "a", "s", 0), (2, "b", "s", 0)])
+    two = documents(spark, [(3, "a", "s", 0), (4, "c", "s", 0)])
+    one.coalesce(1).write.parquet(path)
+    first = {bytes(r.digest): (r.n, r.keep.doc_id) for r in exact_dedup.registry(spark, path, state=state).collect()}
+    two.coalesce(1).write.mode("append").parquet(path)
+    both = {bytes(r.digest): (r.n, r.keep.doc_id) for r in exact_dedup.registry(spark, path, state=state).collect()}
+    name = lambda t: hashlib.sha256(t.encode()).digest()
+    assert first == {name("a"): (1, 1), name("b"): (1, 2)} and both == {name("a"): (2, 3), name("b"): (1, 2), name("c"): (1, 4)}
+
+
+def test_lexicons_leave_out_their_fold(spark):
+    rows = [("plain words here", 0, k) for k in range(3) for _ in range(30)] + [(f"bad{k} words", 1, k) for k in range(3) for _ in range(30)]
+    whole, *apart = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"))
+    assert {"bad0", "bad1", "bad2"} <= set(whole)
+    assert all({f"bad{j}" for j in range(3)} & set(x) == {f"bad{j}" for j in range(3) if j != k} for k, x in enumerate(apart))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import re
 import zlib
 
 import duckdb
@@ -53,6 +54,26 @@ def test_simhash_is_spark_xxhash64(spark):
     assert simhash.shingle_hashes("a b c d", 4).view(np.int64).tolist() == [r[0]]
 
 
+def contract_spans(text):
+    """The base spans by the contract's own words: leftmost matches a kind, then those that fail dropped."""
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    spans = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+    spans += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(spans, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def test_base_spans_follow_the_contract(spark):
+    got = QUERIES["op3_secret_scan"](spark, DATA).toPandas().set_index("doc_id")
+    found = 0
+    for i, t in rows("doc_id, text"):
+        want = contract_spans(t)
+        found += len(want)
+        assert [got[f"n_{k}"][i] for k in ("assign", "access", "hex")] == [sum(s[0] == k for s in want) for k in ("assign", "access", "hex")]
+        assert got.base_sha256[i] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    assert found > 0
+
+
 def test_secrets(spark):
     got = QUERIES["op3_secret_scan"](spark, DATA).toPandas().set_index("doc_id")
     for i, t in rows("doc_id, text"):
