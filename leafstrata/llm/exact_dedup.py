@@ -143,7 +143,7 @@ def duplicates(spark: SparkSession, path: str, digest=sha256, files_per_batch: i
     """One row per row of the Parquet documents at ``path``, dropped ones too.
 
     doc_id, keep_id (doc_id of the row that stays), group_size, kept, text_sha256. A null
-    text counts as empty. Of equal texts the largest doc_id stays; among rows that share
+    text counts as empty; texts of any length are compared whole. Of equal texts the largest doc_id stays; among rows that share
     it, or if all are null, the last by file and place does, so exactly one row of a group
     is kept. Extra columns are ignored; an empty table gives no rows.
     """

@@ -401,8 +401,10 @@ def encode_documents(docs: DataFrame, seed: int = SEED, dropout: float = DROPOUT
 
     ``lossless`` tells that the ids decode to the text's own bytes, which each row is
     tried on. Null and empty texts have no ids. Rows with the same doc_id and text get
-    the same ids unless the column named by ``copy`` tells them apart; null doc_ids draw alike. Extra columns are ignored. The model's table
-    goes to the workers with the task; its size is the vocabulary's.
+    the same ids unless the column named by ``copy`` tells them apart; null doc_ids draw
+    alike. Words over SHORT characters, of any length, are merged one by one and not kept.
+    Extra columns are ignored; an empty table gives no rows. The model's table goes to the
+    workers with the task; its size is the vocabulary's.
     """
     rows = pick(docs, "doc_id", "text", *([copy] if copy else []))
     pieces = PieceTable(model)

@@ -114,7 +114,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``; null doc_ids count as the empty text in held_out."""
+    """doc_id, held_out, score, predicted for each row of ``docs``.
+
+    Null and empty texts have all features zero and get one score in 0 .. 1; long texts are
+    read whole. Null doc_ids count as the empty text in held_out. Repeated rows come back
+    repeated, extra columns are ignored, an empty table gives no rows.
+    """
     bare = pick(docs, "doc_id", "text")
     model = fit(bare, labels, sample)
 
