@@ -102,16 +102,11 @@ def integral_image(px: DataFrame, value: str = "gray") -> DataFrame:
 
 
 def box_sum(integral: DataFrame, half: int) -> DataFrame:
-    """Sum over the clamped window by its four corners."""
-    size = integral.groupBy("page_no").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    at = integral.select("page_no", "y", "x").join(size, "page_no").selectExpr(
-        "page_no", "y", "x", f"least(y + {half}, my) AS y1", f"least(x + {half}, mx) AS x1", f"y - {half + 1} AS y0", f"x - {half + 1} AS x0"
-    )
-    corner = lambda y, x, name: integral.select("page_no", F.col("y").alias(y), F.col("x").alias(x), F.col("s").alias(name))
-    got = at.join(corner("y1", "x1", "c11"), ["page_no", "y1", "x1"])
-    for y, x, name in (("y0", "x1", "c01"), ("y1", "x0", "c10"), ("y0", "x0", "c00")):
-        got = got.join(corner(y, x, name), ["page_no", y, x], "left")
-    return got.selectExpr("page_no", "y", "x", "c11 - coalesce(c01, 0L) - coalesce(c10, 0L) + coalesce(c00, 0L) AS box")
+    """Sum over the clamped window by its four corners: two of each row, then two of each column, as frames without a join."""
+    row, col = Window.partitionBy("page_no", "y").orderBy("x"), Window.partitionBy("page_no", "x").orderBy("y")
+    corner = lambda c, w: F.last(c).over(w.rangeBetween(0, half)) - F.coalesce(F.last(c).over(w.rangeBetween(-half - 1, -half - 1)), F.lit(0))
+    strip = integral.select("page_no", "y", "x", corner("s", row).alias("strip"))
+    return strip.select("page_no", "y", "x", corner("strip", col).cast("long").alias("box"))
 
 
 def sauvola_threshold(px: DataFrame, value: str, window: int, k: float, r: int) -> DataFrame:
