@@ -469,6 +469,26 @@ def test_keys_that_meet_across_batches():
     assert list(similar._shared(iter([]))) == []
 
 
+def test_sorted_neighbours_meet_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(3)]
+    rows = sorted((t, k, n, k, k ^ n, 0, 5) for n in range(40) for t in range(2) for k in [rng.choice(base) ^ (1 << rng.randrange(6))])
+    differ = lambda x, y: [((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y, strict=True)]
+    want = set()
+    for i, y in enumerate(rows):
+        for x in rows[max(0, i - similar.NEIGHBOURS) : i]:
+            d = differ(x, y)
+            if x[0] == y[0] and d[1] <= 2 and sum(d[3:]) <= 8:
+                want.add((min(x[2], y[2]), max(x[2], y[2])))
+    assert want
+    for size in (1, 2, 3, 7, 80):
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["t", "key", "node", *similar.FIELDS]) for i in range(0, 80, size)]
+        got = [(r["a"], r["b"]) for b in similar._neighbours(iter([batches[0].slice(0, 0), *batches]), 2, 8) for r in b.to_pylist()]
+        assert set(got) == want and len(got) >= len(want)
+
+
 def test_parity_bitmaps_bound_the_difference():
     rng = np.random.default_rng(6)
     for a, b, both in [(0, 3, 0), (300, 300, 200), (600, 480, 450), (2000, 2300, 1700), (40_000, 41_000, 30_000)]:
