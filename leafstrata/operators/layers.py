@@ -26,9 +26,9 @@ def page_dims(pages: DataFrame) -> DataFrame:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes as B, rounded KB or MB with one decimal."""
+    """Bytes as B, rounded KB (halves up) or MB with one decimal (halves to even, as SQL's printf has them)."""
     kb, mb = n / F.lit(1024.0), n / F.lit(1048576.0)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.format_string("%.0f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.format_string("%.0f KB", kb)).otherwise(F.format_string("%.1f MB", F.bround(mb, 1)))
 
 
 def strip_extension(name: Column) -> Column:

@@ -5,6 +5,7 @@ import os
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from leafstrata.functions import process
 from leafstrata.operators import components as comp
 from leafstrata.operators import group4, kernels, layers, text
 from leafstrata.plans.lineage import run_folder
+from leafstrata.plans.registry import ORACLE_SQL, QUERIES
+from tests.check import same
 
 rng = np.random.default_rng(11)
 
@@ -138,3 +141,10 @@ def test_run_folder_goes_however_the_run_ends(spark):
             assert os.path.isdir(seen[0])
             raise ValueError
     assert not os.path.exists(seen[0])
+
+
+def test_sizes_halfway_between_tenths_match_sql(spark, tmp_path):
+    # 1000 * 32768 bytes are 31.25 MB, three times that 93.75 MB; 1536 bytes are 1.5 KB
+    rows = [(1, "x" * 32768, "web"), (2, "x" * 98304, "a.b"), (3, "x" * 1536, "web"), (4, None, "web")]
+    pd.DataFrame(rows, columns=["doc_id", "text", "source"]).to_parquet(tmp_path / "documents.parquet")
+    same(QUERIES["size_format"], ORACLE_SQL["size_format"], spark, str(tmp_path))
