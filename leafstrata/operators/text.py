@@ -26,8 +26,12 @@ def cluster_lines(y: np.ndarray, height: np.ndarray) -> np.ndarray:
     mean baseline than half the larger of the page's median height and the line's mean
     height opens the next line.
     """
+    return fold_lines(y, height, np.float32(np.sort(height)[len(height) // 2]))
+
+
+def fold_lines(y: np.ndarray, height: np.ndarray, median: np.float32) -> np.ndarray:
+    """cluster_lines() of glyphs of a page with that median height."""
     f = np.float32
-    median = f(np.sort(height)[len(height) // 2])
     out, line = np.zeros(len(y), np.int32), 0
     mean_y, mean_h, n = f(y[0]), f(height[0]), 1
     for i in range(1, len(y)):
@@ -104,13 +108,17 @@ def word_boxes(words: DataFrame, dpi: float) -> DataFrame:
 def baseline_ratio(word: str = "word", bbox: str = "bbox", chars: str = "chars"):
     """Baseline inside the box, 0 .. 1: the upper median of the glyphs' baselines; without glyphs 0.85 for CJK, else 0.75."""
     ys = F.array_sort(F.transform(chars, lambda c: c["y"]))
-    median = F.element_at(ys, (F.floor(F.size(ys) / 2) + 1).cast("int"))
-    ratio = (median - F.col(f"{bbox}.y").cast("float")).cast("float").cast("double") / F.col(f"{bbox}.h").cast("float").cast("double")
-    known = F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), ratio.cast("float")))
+    known = ratio_inside(F.element_at(ys, (F.floor(F.size(ys) / 2) + 1).cast("int")), bbox)
     guess = F.when(F.col(word).rlike(CJK), F.lit(0.85)).otherwise(F.lit(0.75)).cast("float")
     return F.when(F.coalesce(F.size(chars), F.lit(0)) > 0, known).otherwise(guess)
 
 
+def ratio_inside(baseline, bbox: str = "bbox"):
+    """A baseline's place inside the box, 0 .. 1."""
+    ratio = (baseline - F.col(f"{bbox}.y").cast("float")).cast("float").cast("double") / F.col(f"{bbox}.h").cast("float").cast("double")
+    return F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), ratio.cast("float")))
+
+
 def has_cjk(text: DataFrame, column: str) -> DataFrame:
     """Per document whether any text holds a CJK character."""
     return text.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col(column), F.lit("")).rlike(CJK)).alias("cjk"))
@@ -159,16 +167,19 @@ def encodable_text(words: DataFrame, word: str = "word") -> DataFrame:
     return words.withColumn("safe_word", safe).withColumn("skipped", units(F.col(word)) - units(F.col("safe_word")))
 
 
-def text_placement(words: DataFrame, scale_x: float, scale_y: float, page_h: float, min_font: float) -> DataFrame:
+def text_placement(words: DataFrame, scale_x: float, scale_y: float, page_h: float, min_font: float, ratio=None, advance=None) -> DataFrame:
     """Where and how large a word is drawn: place_x, place_y, size and stretch, in points.
 
     size = max(box height * scale, min_font); stretch = target width / natural width, 1
     where there is none; the drawn size is their product. A word with a character of unknown
-    advance takes half its size a character.
+    advance takes half its size a character. ``ratio`` is the baseline's place in the
+    box and ``advance`` the natural one in thousandths (null: unknown), where they are known already.
     """
-    t = encodable_text(words).withColumn("ratio", baseline_ratio().cast("double"))
+    t = encodable_text(words).withColumn("ratio", (baseline_ratio() if ratio is None else ratio).cast("double"))
     t = t.withColumn("size", F.greatest(F.col("bbox.h") * F.lit(scale_y), F.lit(min_font)))
-    known = F.when(~F.col("safe_word").rlike(f"[^{MEASURED[1:]}"), F.expr(natural_advance("safe_word")) / F.lit(1000.0) * F.col("size"))
+    if advance is None:
+        advance = F.when(~F.col("safe_word").rlike(f"[^{MEASURED[1:]}"), F.expr(natural_advance("safe_word")))
+    known = advance / F.lit(1000.0) * F.col("size")
     t = t.withColumn("natural", F.coalesce(known, F.length("safe_word") * F.col("size") * F.lit(GUESSED_ADVANCE)))
     stretch = F.when(F.col("natural") > 0, F.col("bbox.w") * F.lit(scale_x) / F.col("natural")).otherwise(F.lit(1.0))
     return t.select(

@@ -1,11 +1,14 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from leafstrata.operators import metadata, text
+from leafstrata.operators import metadata, pagetext, text
+from leafstrata.plans.registry import ORACLE_SQL, QUERIES
 from leafstrata.sources import files
 from leafstrata.sources.settings import PageConfig, get, parse_jsonc
 from leafstrata.streaming.ingest import ingest
+from tests.check import same
 
 GLYPH = "doc_id long, page_no int, seq long, text string, x float, y float, width float, height float"
 
@@ -142,3 +145,61 @@ def test_stream_keeps_rows_of_files_out_of_time_order(spark, tmp_path):
         spark.sql(rows).coalesce(1).write.mode("append").parquet(path)
     assert sorted(r.event_id for r in ingest(spark, path, "event_id", "ts").collect()) == list(range(20))
     assert sorted(r.event_id for r in ingest(spark, path, "event_id", "ts", files_per_batch=3).collect()) == list(range(20))
+
+
+def pages_of(rng, n, ties):
+    """Glyph arrays of pages with drifting lines, mixed heights, words, long stretches that need the fold and, with ties, repeated places."""
+    size = rng.integers(1, 60, n)
+    page, total = np.repeat(np.arange(n), size), size.sum()
+    f = np.float32
+    seq = np.concatenate([rng.permutation(k) // (2 if ties else 1) for k in size])
+    x, y = rng.choice(np.arange(0, 90, 0.5), total).astype(f), rng.choice(np.arange(0, 40, 0.7), total).astype(f)
+    char = rng.choice([97, 98, 0xE9, 0x6F22, 0x1F600], total)
+    return pagetext.Glyphs(page, seq, char, x, y, rng.choice([3, 6.5], total).astype(f), rng.choice([4, 7.3, 12], total).astype(f))
+
+
+def as_rows(spark, g):
+    rows = zip(g.page.tolist(), g.seq.tolist(), map(chr, g.char), *(c.tolist() for c in (g.x, g.y, g.width, g.height)), strict=True)
+    return spark.createDataFrame([(p, 0, *r) for p, *r in rows], GLYPH)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_dense_words_and_boxes_equal_rows_of_glyphs(spark, ties):
+    g = pages_of(np.random.default_rng(5 + ties), 60, ties)
+    words = text.word_boxes(text.word_split(text.page_lines(as_rows(spark, g))), 150.0)
+    ours = words.select("doc_id", "line_no", "word_no", "word", F.size("chars"), "bbox.x", "bbox.y", "bbox.w", "bbox.h", F.sort_array("chars.y")[F.expr("size(chars) div 2")])
+    dense = [c.to_pylist() if hasattr(c, "to_pylist") else c.tolist() for c in pagetext.word_rows(g, 150.0)[:-1]]
+    assert sorted(zip(*dense, strict=True)) == sorted(map(tuple, ours.collect()))
+    lines = text.line_clusters(as_rows(spark, g)).groupBy("doc_id", "line_no").agg(F.count("*"), F.min("seq"), F.max("seq"))
+    assert sorted(zip(*[c.tolist() for c in pagetext.line_rows(g)], strict=True)) == sorted(map(tuple, lines.collect()))
+
+
+def test_dense_comparison_equals_rows_of_glyphs(spark):
+    rng = np.random.default_rng(3)
+    g, at = pagetext.diff_starts(pages_of(rng, 40, False))
+    page, word = g.page[at], pagetext.word_strings(g.char, at)
+    dense = sorted(zip(page.tolist(), pagetext.numbers(page).tolist(), word.to_pylist(), *(c.tolist() for c in pagetext.diff_boxes(g, at)), strict=True))
+    assert dense == sorted(map(tuple, text.diff_words(as_rows(spark, g)).select("doc_id", "word_no", "word", *"xywh").collect()))
+    # many equal words, at equal distances on both sides, on lines that are near and that are not
+    names = ["doc_id", "page_no", "word_no", "word", *"xywh"]
+    sides = [pd.DataFrame({"doc_id": rng.integers(0, 4, 300), "page_no": 0, "word_no": np.arange(300), "word": rng.choice(["a", "b"], 300)} | {c: rng.choice(v, 300) for c, v in zip("xywh", (np.arange(0, 30, 0.5), [0.0, 12, 24], [6.0, 6.25], [8.0, 10]), strict=True)}) for _ in "lr"]
+    sides[1] = sides[1][(sides[1].doc_id != 3) | (sides[1].word != "b")]
+    left, right = ([c.to_numpy() for _, c in s[list("xywh")].items()] for s in sides)
+    key, r_key = ((s.doc_id * 2 + (s.word == "b")).to_numpy() for s in sides)
+    best = pagetext.nearest(key, left, r_key, sides[1].word_no.to_numpy(), right)
+    match = [None if b < 0 else n for b, n in zip(best, sides[1].word_no.to_numpy()[best], strict=True)]
+    rows = text.match_boxes(*(spark.createDataFrame(s[names]) for s in sides)).orderBy("word_no").collect()
+    assert [(r.match_no, r.status) for r in rows] == list(zip(match, pagetext.statuses(left, right, best).to_pylist(), strict=True))
+    assert {r.status for r in rows} == {"matched", "differing", "missing"}
+
+
+TEXTS = ["Zoë 7,Q é\nÿ¡A\xa0b ~x", "one two\n\n漢字 a\tb\r\nlast", None, "", " \n ", "a  b\n" * 12 + "end", "\x0b\x85  x\U0001f600y", "same same same\nsame\nsame same"]
+
+
+@pytest.mark.parametrize("name", ["line_clusters"])
+def test_text_queries_shuffle_texts_not_glyphs(spark, tmp_path, name):
+    docs = pd.DataFrame({"doc_id": range(len(TEXTS)), "text": TEXTS})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    same(QUERIES[name], ORACLE_SQL[name], spark, str(tmp_path))
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "seq#" not in plan
