@@ -8,8 +8,9 @@ errors cost candidates, never pairs. Sizes, places and parity bitmaps bound the
 from above and drop candidates before Jaccard is computed on the sets.
 
 Only components are asked for, so pairs that are connected already are no candidates.
-Neighbours of sorted 256-bit SimHash fingerprints connect most of a crowd of near copies
-first; then every set is compared with one set of each of its prefix keys; and at last all
+The pigeonring join of ``simhash`` over 64-bit fingerprints and its Hamming check come first:
+they find the closest pairs. With neighbours of sorted 256-bit fingerprints they connect most
+of a crowd of near copies; then every set is compared with one set of each of its prefix keys; and at last all
 pairs that share a key and are still apart are compared. That last step leaves out no pair,
 so the result doesn't depend on what the first two found.
 """
@@ -27,11 +28,15 @@ from pyspark.sql import functions as F
 
 from leafstrata.llm.common import discard, lean, materialise, pick, small
 from leafstrata.llm.components import connected_components
-from leafstrata.llm.simhash import CHUNK, shingle_hashes
+from leafstrata.llm.simhash import CHUNK, links as ring_links, shingle_hashes
 
 WORDS64 = 4
 WIDE = 64 * WORDS64
 FIELDS = tuple(f"f{i}" for i in range(WORDS64))
+#: A parity bitmap of 256 slots as longs, which join conditions hold against similarity.
+SLOTS = tuple(f"q{i}" for i in range(WORDS64))
+#: Bits in which the 64-bit fingerprints of pairs of the pigeonring join differ at most.
+TOLERANCE = 4
 #: Orders in which fingerprints are sorted, bits sampled for an order, and neighbours looked at on one side.
 ORDERS, SAMPLED, NEIGHBOURS = 8, 64, 2
 #: Counters of the sketch that orders shingles, as a power of two, and least and most bits of a parity bitmap (powers of two).
@@ -88,6 +93,12 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
 
 
+def slots(shingles: np.ndarray) -> np.ndarray:
+    """parity() of WIDE slots, as longs."""
+    odd = np.bincount((shingles & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def parity_difference(x: bytes, y: bytes) -> int:
     """Slots in which two parity bitmaps differ, by the shorter one's slots."""
     while len(x) != len(y):
@@ -166,7 +177,7 @@ def similar_nodes(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed
 
     def mark(batches):
         total = np.zeros(1 << SKETCH, np.int32)
-        names = ["doc_id", "node", "size", "parity", *FIELDS]
+        names = ["doc_id", "node", "size", "parity", *FIELDS, *SLOTS]
         column = pa.array([], pa.int64())
         for b in batches:
             hashes = [np.unique(shingle_hashes(t, words, seed)) for t in b.column(1).to_pylist()]
@@ -174,17 +185,18 @@ def similar_nodes(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed
                 np.add.at(total, _slot(h), 1)
             ids = np.fromiter(map(node_of, hashes), np.int64, len(hashes))
             fps = np.array([wide_fingerprint(h) for h in hashes], np.uint64).reshape(-1, WORDS64)
-            longs = [pa.array(x.view(np.int64)) for x in np.ascontiguousarray(fps.T)]
+            odd = np.array(list(map(slots, hashes)), np.int64).reshape(-1, WORDS64)
+            longs = [pa.array(np.ascontiguousarray(x)) for x in (*fps.view(np.int64).T, *odd.T)]
             column = b.column(0)
             yield pa.record_batch([column, pa.array(ids), pa.array(np.array(list(map(len, hashes)), np.int32)), pa.array(list(map(parity, hashes)), pa.binary()), *longs], names=names)
-        empty = [pa.nulls(1, column.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([total.tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * WORDS64]
+        empty = [pa.nulls(1, column.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([total.tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * (2 * WORDS64)]
         if total.any():  # the task's sketch, as a row without a node
             yield pa.record_batch(empty, names=names)
 
-    made = rows.mapInArrow(lean(mark), f"doc_id {kind}, node long, size int, parity binary, " + ", ".join(f"{f} long" for f in FIELDS))
+    made = rows.mapInArrow(lean(mark), f"doc_id {kind}, node long, size int, parity binary, " + ", ".join(f"{f} long" for f in (*FIELDS, *SLOTS)))
     written = materialise(made, "similar")
     marked = written.where("node IS NOT NULL")
-    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(f).alias(f) for f in ("size", "parity", *FIELDS)]), "similar-nodes")
+    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(f).alias(f) for f in ("size", "parity", *FIELDS, *SLOTS)]), "similar-nodes")
     counts = _sketch(written.where("node IS NULL").select("parity"))
     hot = counts > 4 * counts.mean() + HOT
 
@@ -263,7 +275,7 @@ def similar_nodes(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed
     columns = "key long, node long, size int, place int"
     dealt = rows.select("text").mapInArrow(lean(keyed), columns).repartition(F.col("key"), F.when(F.col("place") < 0, F.col("node")))
     keys = materialise(dealt.sortWithinPartitions("key", "node").mapInArrow(lean(_shared), columns), "similar-shared")
-    links = checked(_candidates(nodes, orders, similarity, seed))
+    links = checked(_ring_candidates(nodes).unionByName(_candidates(nodes, orders, similarity, seed)).distinct())
     known = contested(labelled(keys, links))
     discard(keys)
     links = links.unionByName(checked(bounded(known.where("label <> hub"))))
@@ -273,13 +285,19 @@ def similar_nodes(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed
     passed = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(-PASSED, -1))
     known = materialise(again.select("key", "label", "hub", "node", "size", "place").withColumn("passed", passed), "similar-passed")
     discard(again)
+    # sets that differ in more slots than similar ones can are no pair: told where they meet, so that a crowd with a rare key in common makes no pairs by its square
+    parities = nodes.select(F.col("node").alias("_n"), *SLOTS)
+    written_known = known
+    known = known.join(parities, known["node"] == parities["_n"]).drop("_n")
     # of two rows with different labels one at least is outside the key's chosen label
-    other = known.select(F.col("key").alias("_k"), F.col("label").alias("_l"), F.col("node").alias("o_node"), F.col("size").alias("o_size"), F.col("place").alias("o_place"), F.col("passed").alias("o_passed"))
-    outside = known.where("label <> hub").select("key", "label", "node", "size", "place", "passed")
-    meet = (outside["key"] == other["_k"]) & (outside["label"] != other["_l"]) & ~F.arrays_overlap("passed", "o_passed")
-    pairs = outside.join(other, meet).drop("passed", "o_passed")
+    other = known.select(F.col("key").alias("_k"), F.col("label").alias("_l"), F.col("node").alias("o_node"), F.col("size").alias("o_size"), F.col("place").alias("o_place"), F.col("passed").alias("o_passed"), *[F.col(q).alias(f"o_{q}") for q in SLOTS])
+    outside = known.where("label <> hub").select("key", "label", "node", "size", "place", "passed", *SLOTS)
+    differ = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(f"o_{q}"))) for q in SLOTS), F.lit(0))
+    alike = differ <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("o_size")) + EPS
+    meet = (outside["key"] == other["_k"]) & (outside["label"] != other["_l"]) & alike & ~F.arrays_overlap("passed", "o_passed")
+    pairs = outside.join(other, meet).drop("passed", "o_passed", *SLOTS, *[f"o_{q}" for q in SLOTS])
     links = links.unionByName(checked(bounded(pairs)))
-    discard(known, nodes)
+    discard(written_known, nodes)
     return marked.select("doc_id", "node"), links
 
 
@@ -324,6 +342,15 @@ def _candidates(nodes: DataFrame, count: int, similarity: float, seed: int) -> D
     return dealt.mapInArrow(lean(near), "a long, b long").distinct()
 
 
+def _ring_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by the pigeonring join over their 64-bit fingerprints. Nodes of one fingerprint hang on its smallest, which stands for them."""
+    of = nodes.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("rep"))
+    one, two = (of.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}")) for x in ("a", "b"))
+    near = ring_links(of.select("fp"), TOLERANCE).join(one, "a").join(two, "b").select(F.col("ra").alias("x"), F.col("rb").alias("y"))
+    same = nodes.join(of, nodes["f0"] == of["fp"]).where("node <> rep").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+    return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with all columns, one document of each group of near-duplicates.
 

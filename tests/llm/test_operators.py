@@ -569,3 +569,15 @@ def test_lexicons_leave_out_their_fold(spark):
     whole, *apart = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"))
     assert {"bad0", "bad1", "bad2"} <= set(whole)
     assert all({f"bad{j}" for j in range(3)} & set(x) == {f"bad{j}" for j in range(3) if j != k} for k, x in enumerate(apart))
+
+
+def test_near_duplicates_meet_by_pigeonring_and_slots_bound_sets(spark):
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    for k in (0, 1, 30, 200):
+        other = np.unique(np.concatenate([base[k:], rng.integers(0, 2**64, k, dtype=np.uint64)]))
+        differ = int(np.bitwise_count((similar.slots(base) ^ similar.slots(other)).view(np.uint64)).sum())
+        assert differ <= 2 * k and (k != 200 or differ > 400 * 2 / 9)
+    fps = [0, 0, 0b1111, 0b11111 << 20, -1]
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node long, f0 long")
+    assert {(r.a, r.b) for r in similar._ring_candidates(nodes).collect()} == {(0, 1), (0, 2)}
