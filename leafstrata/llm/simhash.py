@@ -125,7 +125,8 @@ def links(fps: DataFrame, tolerance: int = 4) -> DataFrame:
     )
     whole = f"bit_count(a ^ b) <= {tolerance}"
     on = f"p.r = i.r AND p.key = i.key AND a <> b AND (NOT same OR a < b) AND {chains or 'true'} AND {whole}"
-    found = probe.alias("p").join(index.alias("i"), F.expr(on))
+    # explode's rows are missing from Spark's estimates: by default it would broadcast one of the sides through the driver
+    found = probe.alias("p").join(index.hint("merge").alias("i"), F.expr(on))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

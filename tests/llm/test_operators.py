@@ -41,6 +41,19 @@ def test_links_are_all_pairs_within_tolerance(spark, tolerance):
     assert got == want
 
 
+def test_links_send_no_side_through_the_driver(spark):
+    fps = spark.range(200).select(F.xxhash64("id").alias("fp"))
+    found = simhash.links(fps)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # Spark's default
+    try:
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     got = simhash.near_duplicates(clashing(spark)).collect()
     assert len(got) == len(ROWS)
